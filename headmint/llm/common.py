@@ -73,6 +73,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end number of each run of equal keys."""
+    if not len(keys):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return start, np.append(start[1:], len(keys))
+
+
 def text_slices(column: pa.Array, max_bytes: int = SLICE_BYTES, max_rows: int = 60_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of whole texts; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from headmint.llm.common import lower_ascii, mix, parts, shared_dir, split_words, stored, text_bytes, text_slices, windows
+from headmint.llm.common import lower_ascii, mix, parts, runs, shared_dir, split_words, stored, text_bytes, text_slices, windows
 from headmint.llm.components import components
 
 RANGE_BYTES = 12 << 20  # text whose shingles one reducer gets
@@ -182,15 +182,14 @@ def _gather(num: int, den: int):
         key, n, sh, df = join("key", np.uint64), join("n", np.uint32), join("shingle", np.uint64), join("df", np.uint32)
         order = np.argsort(key, kind="stable")
         key, n, sh, df = key[order], n[order].astype(np.int64), sh[order], df[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        live = np.diff(np.append(first, len(key)))
+        first, ends = runs(key)
+        live = ends - first
         good = live >= need(n[first], num, den)
         m = np.repeat(good, live)
         key, n, sh, df = key[m], n[m], sh[m], df[m]
         order = np.lexsort((sh, df, key))
         key, n, sh = key[order], n[order], sh[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        ends = np.append(first[1:], len(key))
+        first, ends = runs(key)
         out = {"set_key": key[first].view(np.int64), "n": n[first].astype(np.int32), "shingles": [], "prefix": []}
         for a, b in zip(first.tolist(), ends.tolist(), strict=True):
             size = int(n[a])
@@ -223,8 +222,7 @@ class InvertedLists:
         at = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
         order = np.argsort(sh, kind="stable")
         sh, self.at = sh[order], at[order]
-        self.start = np.flatnonzero(np.concatenate([[True], sh[1:] != sh[:-1]])) if len(sh) else np.zeros(0, np.int64)
-        self.end = np.append(self.start[1:], len(sh))
+        self.start, self.end = runs(sh)
         self.shingle = sh[self.start]
 
     def lists(self, query: np.ndarray) -> list[np.ndarray]:
