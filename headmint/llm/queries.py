@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from headmint.llm.common import table
 from headmint.llm.jaccard_join import ngram_jaccard_join
+from headmint.llm.quality_cnn import quality_scores
 from headmint.llm.substring_dedup import substring_dedup
 
 
@@ -16,6 +17,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -23,5 +28,6 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_quality_cnn": op2_quality_cnn,
     "op7_substring_dedup": op7_substring_dedup,
 }
