@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headmint.llm.chat import chat_digests
 from headmint.llm.common import table
 from headmint.llm.jaccard_join import ngram_jaccard_join
+from headmint.llm.pii import KINDS, pii_spans
 from headmint.llm.quality_cnn import quality_scores
 from headmint.llm.substring_dedup import substring_dedup
 from headmint.llm.warc import warc_round_trip
@@ -23,6 +24,19 @@ def op2_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def _joined(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def _count(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+
+def op5_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii_spans(table(spark, sf_dir, "documents")).withColumn("base", F.filter("spans", lambda s: s["base"]))
+    return out.select("doc_id", *(_count("base", k) for k in KINDS), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -42,6 +56,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_quality_cnn": op2_quality_cnn,
+    "op5_pii_crf": op5_pii_crf,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_chat_format": op8_chat_format,
     "op10_warc": op10_warc,
