@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from headmint.llm.chat import chat_digests
 from headmint.llm.common import table
 from headmint.llm.jaccard_join import ngram_jaccard_join
+from headmint.llm.kd_search import kd_topk
 from headmint.llm.pii import KINDS, pii_spans
 from headmint.llm.quality_cnn import quality_scores
 from headmint.llm.substring_dedup import substring_dedup
@@ -24,6 +25,10 @@ def op2_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_kd_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_topk(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0, k=5)
+
+
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -56,6 +61,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_quality_cnn": op2_quality_cnn,
+    "op3_kd_topk": op3_kd_topk,
     "op5_pii_crf": op5_pii_crf,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_chat_format": op8_chat_format,
