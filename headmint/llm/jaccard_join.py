@@ -3,13 +3,16 @@
 The join is exact up to 64-bit hashes of shingles and sets. It runs in four steps, each
 of which moves numbers only, in blocks:
 
-1. Shingle counts. Every text slice sends its distinct shingles, cut by hash range, to the
-   reducer of the range. A shingle that only one distinct set holds can't be in any
-   intersection; the others go back to their sets with their document frequency.
-2. Length bound. A set that links to another shares ceil(threshold * size) shingles with
-   it. Sets with fewer shared shingles leave: nearly all do. Of the rest, by rising
-   frequency, the first size - ceil(threshold * size) + 1 shingles form a prefix, and sets
-   that link have a prefix shingle in common.
+1. Unshared shingles. A set that links to another shares ceil(threshold * size) shingles
+   with it, so a set with more unshared ones than the rest leaves. Every text slice sends
+   the distinct shingles of half the hash space, cut by hash range, to the reducer of the
+   range, which counts for each set those that no other distinct set holds. Half is enough
+   to see nearly all sets leave.
+2. Shared shingles. What stays is marked in a bitmap of bounded size (a set that it lets
+   through by mistake costs work, not truth) and sends all its shingles. The ranges give
+   back the shared ones with their document frequency. By rising frequency, the first
+   size - ceil(threshold * size) + 1 shingles of a set form its prefix, and sets that link
+   have a prefix shingle in common.
 3. Neighbourhoods. Sets of compatible size next to each other in a prefix shingle's list
    are chained (a list of n gives n - 1 edges, not n * n pairs); connected components of
    the chains hold all links.
@@ -40,6 +43,7 @@ RANGE_BYTES = 12 << 20  # text whose shingles one reducer gets
 BLOCK_SHINGLES = 4_000_000  # shingles of a block of a neighbourhood
 PROBE_WEIGHT = 0.03  # DivideSkip: what a probe costs against a step of the merge
 
+MAX_BITS = 1 << 27  # of the bitmap of sets: 16 MB
 LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -97,7 +101,13 @@ def _sets(words_per: int):
     return run
 
 
-def _blocks(words_per: int, ranges: int):
+def in_half(sh: np.ndarray) -> np.ndarray:
+    return sh < np.uint64(1 << 63)
+
+
+def _blocks(words_per: int, ranges: int, chosen=None):
+    """Blocks of shingles by hash range: the half of all sets, or all of the chosen sets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, _, buf, off in text_slices(b.column(0)):
@@ -106,8 +116,14 @@ def _blocks(words_per: int, ranges: int):
                 keep = np.zeros(len(key), bool)
                 keep[one] = True
                 keep &= size > 0
+                if chosen is not None:
+                    bits = chosen.value
+                    at = (key & np.uint64(8 * len(bits) - 1)).astype(np.int64)
+                    keep &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
                 at = (np.cumsum(keep) - 1).astype(np.uint16)
                 m = keep[row]
+                if chosen is None:
+                    m &= in_half(sh)
                 sh, idx = sh[m], at[row[m]]
                 part = ((sh >> np.uint64(32)) % np.uint64(ranges)).astype(np.int32)
                 order = np.argsort(part, kind="stable")
@@ -130,22 +146,75 @@ def _blocks(words_per: int, ranges: int):
 
 SETS = np.dtype([("key", np.uint64), ("n", np.uint32)])
 BLOCK_SCHEMA = "part int, sets binary, low binary, high binary, idx binary"
+ALONE_SCHEMA = "part int, key binary, n binary, alone binary"
 SHARED_SCHEMA = "part int, key binary, n binary, shingle binary, df binary"
 SET_SCHEMA = "set_key bigint, n int, shingles binary, prefix binary"
 
 
+def _range_rows(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Set keys, set sizes and shingles of a hash range's blocks."""
+    keys, ns, sh = [], [], []
+    for sets, low, high, idx in zip(*(t.column(c).to_pylist() for c in ("sets", "low", "high", "idx")), strict=True):
+        s = np.frombuffer(sets, SETS)[np.frombuffer(idx, np.uint16)]
+        keys.append(s["key"])
+        ns.append(s["n"])
+        sh.append(np.frombuffer(low, np.uint32).astype(np.uint64) | (np.frombuffer(high, np.uint16).astype(np.uint64) << np.uint64(32)))
+    return np.concatenate(keys), np.concatenate(ns), np.concatenate(sh)
+
+
+def _dealt(to: np.ndarray, ranges: int, columns: dict[str, np.ndarray]) -> pa.Table:
+    """A row for each destination, with its share of each column as bytes."""
+    order = np.argsort(to, kind="stable")
+    cut = np.searchsorted(to[order], np.arange(ranges + 1))
+    has = np.flatnonzero(cut[1:] > cut[:-1])
+    out = {"part": pa.array(has, pa.int32())}
+    for name, c in columns.items():
+        c = c[order]
+        out[name] = pa.array([c[cut[r] : cut[r + 1]].tobytes() for r in has], pa.binary())
+    return pa.table(out)
+
+
+def _alone(ranges: int):
+    """Reducer of a hash range: for each set, its shingles that no other distinct set holds."""
+
+    def run(t: pa.Table) -> pa.Table:
+        keys, ns, sh = _range_rows(t)
+        order = np.argsort(sh)
+        keys, ns, sh = keys[order], ns[order], sh[order]
+        start, end = runs(sh)
+        same = np.minimum.reduceat(keys, start) == np.maximum.reduceat(keys, start)  # copies of one set, or one
+        at = start[same]
+        keys, ns = keys[at], ns[at]
+        order = np.argsort(keys)
+        keys, ns = keys[order], ns[order]
+        start, end = runs(keys)
+        keys = keys[start]
+        return _dealt((keys % np.uint64(ranges)).astype(np.int32), ranges, {"key": keys, "n": ns[start], "alone": (end - start).astype(np.uint32)})
+
+    return run
+
+
+def _leaving(num: int, den: int):
+    """Sets whose unshared shingles leave no room for a link."""
+
+    def run(t: pa.Table) -> pa.Table:
+        join = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
+        key, n, alone = join("key", np.uint64), join("n", np.uint32).astype(np.int64), join("alone", np.uint32).astype(np.int64)
+        order = np.argsort(key)
+        key, n, alone = key[order], n[order], alone[order]
+        start, _ = runs(key)
+        total, n = np.add.reduceat(alone, start), n[start]
+        return pa.table({"set_key": pa.array(key[start][total > n - need(n, num, den)].view(np.int64))})
+
+    return run
+
+
 def _shared(ranges: int):
     """Reducer of a hash range: shingles of two or more distinct sets, dealt out by set."""
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         part = key[0].as_py()
-        keys, ns, sh = [], [], []
-        for sets, low, high, idx in zip(*(t.column(c).to_pylist() for c in ("sets", "low", "high", "idx")), strict=True):
-            s = np.frombuffer(sets, SETS)[np.frombuffer(idx, np.uint16)]
-            keys.append(s["key"])
-            ns.append(s["n"])
-            sh.append(np.frombuffer(low, np.uint32).astype(np.uint64) | (np.frombuffer(high, np.uint16).astype(np.uint64) << np.uint64(32)))
-        keys, ns, sh = np.concatenate(keys), np.concatenate(ns), np.concatenate(sh)
+        keys, ns, sh = _range_rows(t)
         order = np.argsort(sh)
         s = sh[order]
         dup = np.zeros(len(s), bool)
@@ -163,13 +232,7 @@ def _shared(ranges: int):
         m = df > 1
         keys, ns, sh, df = keys[m], ns[m], sh[m], df[m]
         sh = mix(sh ^ (np.uint64(part) << np.uint64(48)))
-        to = (keys % np.uint64(ranges)).astype(np.int32)
-        order = np.argsort(to, kind="stable")
-        keys, ns, sh, df, to = keys[order], ns[order], sh[order], df[order].astype(np.uint32), to[order]
-        cut = np.searchsorted(to, np.arange(ranges + 1))
-        has = np.flatnonzero(cut[1:] > cut[:-1])
-        piece = lambda a: pa.array([a[cut[r] : cut[r + 1]].tobytes() for r in has], pa.binary())
-        return pa.table({"part": pa.array(has, pa.int32()), "key": piece(keys), "n": piece(ns), "shingle": piece(sh), "df": piece(df)})
+        return _dealt((keys % np.uint64(ranges)).astype(np.int32), ranges, {"key": keys, "n": ns, "shingle": sh, "df": df.astype(np.uint32)})
 
     return run
 
@@ -390,6 +453,18 @@ def links(sets: DataFrame, folder: str, num: int, den: int, block_shingles: int
     return out.unionByName(met).unionByName(stored(cross, f"{folder}/cross"))
 
 
+def bitmap(sets: DataFrame, n: int) -> np.ndarray:
+    """Bits by set key modulo their number: 16 or more a set, MAX_BITS at most."""
+    bits = 1 << min(max(18, (16 * n).bit_length()), MAX_BITS.bit_length() - 1)
+    place = F.col("set_key").bitwiseAND(F.lit(bits - 1)) + 1
+    rows = sets.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in rows.toLocalIterator():
+        at = (r["bucket"] - 1) * 4096
+        out[at : at + 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per: int = 5, threshold: tuple[int, int] = (75, 100), block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id that links reach).
 
@@ -405,13 +480,21 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     folder = shared_dir(spark)
     text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     named = stored(text.mapInArrow(_sets(words_per), f"doc_id {text.schema['doc_id'].dataType.simpleString()}, n_shingles bigint, set_key bigint"), f"{folder}/sets")
-    ranges = parts(spark, text_bytes(text), RANGE_BYTES)
-    blocks = text.select("text").mapInArrow(_blocks(words_per, ranges), BLOCK_SCHEMA)
+    n = text_bytes(text)
+    ranges = parts(spark, n // 2, RANGE_BYTES)
+    halves = text.select("text").mapInArrow(_blocks(words_per, ranges), BLOCK_SCHEMA)
+    alone = halves.groupBy("part").applyInArrow(_alone(ranges), ALONE_SCHEMA)
+    leaving = alone.groupBy("part").applyInArrow(_leaving(num, den), "set_key bigint")
+    by_set = stored(named.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("low"), F.first("n_shingles").alias("n")), f"{folder}/by_set")
+    staying = stored(by_set.join(leaving, "set_key", "left_anti"), f"{folder}/staying")
+    kept = staying.agg(F.count(F.lit(1)), F.sum("n")).first()
+    chosen = spark.sparkContext.broadcast(bitmap(staying, kept[0]))
+    ranges = parts(spark, 8 * (kept[1] or 0), RANGE_BYTES)
+    blocks = text.select("text").mapInArrow(_blocks(words_per, ranges, chosen), BLOCK_SCHEMA)
     shared = blocks.groupBy("part").applyInArrow(_shared(ranges), SHARED_SCHEMA)
     sets = stored(shared.groupBy("part").applyInArrow(_gather(num, den), SET_SCHEMA), f"{folder}/shared")
     comp = components(links(sets, folder, num, den, block_shingles), f"{folder}/components")
     # a set's documents are linked by being equal; then sets by components
-    by_set = named.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("low"))
     comp = comp.select(F.col("node").alias("set_key"), "component")
     grouped = by_set.join(comp, "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
     least = grouped.groupBy("component").agg(F.min("low").alias("component_id"))
