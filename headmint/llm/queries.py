@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from headmint.llm.chat import chat_digests
 from headmint.llm.common import table
+from headmint.llm.decontaminate import contamination
 from headmint.llm.jaccard_join import ngram_jaccard_join
 from headmint.llm.kd_search import kd_topk
 from headmint.llm.pii import KINDS, pii_spans
 from headmint.llm.quality_cnn import quality_scores
+from headmint.llm.secrets import BASE, secret_spans
 from headmint.llm.substring_dedup import substring_dedup
 from headmint.llm.warc import warc_round_trip
 
@@ -29,6 +31,11 @@ def op3_kd_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_topk(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0, k=5)
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -54,6 +61,12 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(turns)
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = [r.kind for r in BASE]
+    out = secret_spans(table(spark, sf_dir, "documents")).withColumn("base", F.filter("spans", lambda s: s["kind"].isin(base)))
+    return out.select("doc_id", *(_count("base", k) for k in base), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages")).drop("payload")
 
@@ -62,8 +75,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_quality_cnn": op2_quality_cnn,
     "op3_kd_topk": op3_kd_topk,
+    "op4_decontaminate": op4_decontaminate,
     "op5_pii_crf": op5_pii_crf,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_chat_format": op8_chat_format,
+    "op9_secret_scan": op9_secret_scan,
     "op10_warc": op10_warc,
 }
