@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,12 +13,15 @@ from headmint.llm.common import table
 from headmint.llm.decontaminate import contamination
 from headmint.llm.jaccard_join import ngram_jaccard_join
 from headmint.llm.kd_search import kd_topk
+from headmint.llm.pieces import round_trip
 from headmint.llm.pii import KINDS, pii_spans
 from headmint.llm.quality_cnn import quality_scores
 from headmint.llm.secrets import BASE, secret_spans
 from headmint.llm.substring_dedup import substring_dedup
 from headmint.llm.warc import warc_round_trip
 
+MODEL = os.environ.get("HEADMINT_PIECES", "/opt/tokenizers/piece_bpe_32k.model")  # the driver reads it
+
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
@@ -49,6 +53,10 @@ def op5_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *(_count("base", k) for k in KINDS), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), MODEL)
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -77,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_kd_topk": op3_kd_topk,
     "op4_decontaminate": op4_decontaminate,
     "op5_pii_crf": op5_pii_crf,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_chat_format": op8_chat_format,
     "op9_secret_scan": op9_secret_scan,
