@@ -43,7 +43,7 @@ class Template:
             "tool": Role("### Tool: ", "</turn>\n", ("assistant", "tool")),
         }
     )
-    other: tuple[str, str] = ("### Role ", ": ")  # of a role without an entry: its name stands between
+    other: tuple[str, str] = ("### Role [", "]: ")  # of a role without an entry: its name stands between
     other_closing: str = "</turn>\n"
     final: tuple[str, ...] = ("assistant",)  # where a conversation may end
     escape: str = "\\"

@@ -63,9 +63,9 @@ def _candidates(w: Column, size: int, sigs: list[int] | None) -> Column:
     return F.transform(at, lambda i: F.struct(i.alias("pos"), F.lit(size).alias("size"), string(w, i, size).alias("gram")))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 10, keep: tuple[str, ...] = (), broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 10, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per document: id, n_words, n_hit, items (sorted ids as strings), hit (word numbers
-    from 0), and the columns of docs named in keep.
+    from 0), row_key (a hash of id and text).
 
     A-Z are lower-cased; words are runs of 0-9, a-z and what lies beyond ASCII. A window is
     `size` consecutive words of an item; an item of fewer words, but not none, is one window.
@@ -84,28 +84,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         for r in grams.select("size", "sig").distinct().collect():
             sigs[r["size"]] = [*(sigs[r["size"]] or []), r["sig"]]
     found = lambda w: F.concat(*(_candidates(w, k, v) for k, v in sorted(sigs.items()))) if sigs else F.array().cast("array<struct<pos:int,size:int,gram:string>>")
-    scan = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"), *(F.col(c).alias(f"keep_{c}") for c in keep))
-    kept = [f"keep_{c}" for c in keep]
-    scan = scan.select("row", "id", *kept, let(F.col("w"), lambda w: F.struct(F.size(w).cast("bigint").alias("n_words"), found(w).alias("c"))).alias("s"))
-    rows = scan.select("row", "id", *kept, F.col("s.n_words").alias("n_words"), F.explode_outer("s.c").alias("c")).select("row", "id", *kept, "n_words", "c.*")
+    scan = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row_key"), words(F.col(text_col)).alias("w"))
+    scan = scan.select("row", "id", "row_key", let(F.col("w"), lambda w: F.struct(F.size(w).cast("bigint").alias("n_words"), found(w).alias("c"))).alias("s"))
+    rows = scan.select("row", "id", "row_key", F.col("s.n_words").alias("n_words"), F.explode_outer("s.c").alias("c")).select("row", "id", "row_key", "n_words", "c.*")
     met = rows.join(by_gram.withColumnRenamed("size", "of_size").withColumnRenamed("gram", "of_gram"), (F.col("gram") == F.col("of_gram")) & (F.col("size") == F.col("of_size")), "left")
     hit = F.when(F.col("of_gram").isNotNull(), F.struct("pos", "size"))
-    by_row = met.groupBy("row").agg(F.first("id").alias("id"), *(F.first(c).alias(c) for c in kept), F.first("n_words").alias("n_words"), F.collect_set(hit).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("items"))
+    by_row = met.groupBy("row").agg(F.first("id").alias("id"), F.first("row_key").alias("row_key"), F.first("n_words").alias("n_words"), F.collect_set(hit).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("items"))
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["pos"], h["pos"] + h["size"] - 1)))))
-    out = by_row.select(F.col("id").alias(id_col), "n_words", "items", covered.alias("hit"), *(F.col(c).alias(c[5:]) for c in kept))
+    out = by_row.select(F.col("id").alias(id_col), "n_words", "items", covered.alias("hit"), "row_key")
     return out.withColumn("n_hit", F.size("hit").cast("bigint"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove: str = "documents", **names) -> DataFrame:
     """docs without contaminated documents, or (remove="spans") with the hit words, and what
     separates them from the next word, cut out of their texts. Columns stay as they are."""
-    others = tuple(c for c in docs.columns if c != id_col)
-    found = contamination(docs, benchmark, id_col, text_col, keep=others, **names)
-    if remove == "documents":
-        return found.filter(F.col("n_hit") == 0).select(*docs.columns)
-    if remove != "spans":
+    if remove not in ("documents", "spans"):
         raise ValueError("remove is documents or spans")
-    pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"({PIECES})"), F.lit(1))
-    lead = F.regexp_extract(F.col(text_col), "^[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*", 0)
-    cut = F.concat(lead, F.array_join(F.filter(pieces, lambda p, i: ~F.array_contains(F.col("hit"), i)), ""))
-    return found.withColumn(text_col, F.when(F.col("n_hit") > 0, cut).otherwise(F.col(text_col))).select(*docs.columns)
+    found = contamination(docs, benchmark, id_col, text_col, **names).filter("n_hit > 0").select(F.col("row_key").alias("hit_key"), F.col("hit").alias("hit_words")).dropDuplicates(["hit_key"])
+    key = F.xxhash64(docs[id_col], docs[text_col])  # rows of equal id and text are judged alike
+    if remove == "documents":
+        return docs.join(found, key == found["hit_key"], "left_anti")
+    met = docs.join(found, key == found["hit_key"], "left")
+    pieces = F.regexp_extract_all(docs[text_col], F.lit(f"({PIECES})"), F.lit(1))
+    lead = F.regexp_extract(docs[text_col], "^[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*", 0)
+    cut = F.concat(lead, F.array_join(F.filter(pieces, lambda p, i: ~F.array_contains(found["hit_words"], i)), ""))
+    return met.select(*(F.when(found["hit_key"].isNotNull(), cut).otherwise(docs[c]).alias(c) if c == text_col else docs[c] for c in docs.columns))

@@ -505,3 +505,17 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         "n_shingles",
         F.when(F.col("is_set"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
+    """docs with one document of each group of linked ones: that of the smallest id.
+
+    Of repeated rows (equal id and text) one stays; rows of equal id and different texts
+    that are first of their group both stay, as do rows with a null id."""
+    found = ngram_jaccard_join(docs, id_col, text_col, **names)
+    kept = found.filter(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("kept_id")).count()
+    kept = stored(kept, f"{shared_dir(docs.sparkSession)}/kept")
+    out = docs.join(kept.select("kept_id"), docs[id_col] == kept["kept_id"], "left_semi")
+    if not kept.filter("count > 1").isEmpty():
+        out = out.dropDuplicates([id_col, text_col])
+    return out.unionByName(docs.filter(docs[id_col].isNull()))
