@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from headmint.llm.common import hash_ranges, text_slices
 
 BLANK = "▁"
-SLICE = 6 << 20
-CHUNK_CHARS = 1 << 20  # of distinct units indexed at once
+SLICE = 3 << 20
+CHUNK_CHARS = 1 << 19  # of distinct units indexed at once
 LONG_UNIT = 192  # characters from which a unit is merged with a heap
 BPE = 2  # fixed value of the model format
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6  # fixed values of the model format
@@ -432,9 +432,21 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
     return encoded.mapInArrow(_decode(Vocabulary.load(model), encoded.columns.index(ids_col)), _with(encoded, "decoded", "string"))
 
 
+def _round_trip(v: Vocabulary):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, buf, off in text_slices(b.column(1), SLICE):
+                ids, ends = encode_slice(buf, off, v)
+                texts = buf.tobytes()
+                exact = [x.encode() == texts[i:j] for x, i, j in zip(decode_slice(ids, ends, v), off[:-1].tolist(), off[1:].tolist(), strict=True)]
+                yield pa.record_batch({"id": b.column(0).slice(lo, hi - lo), "n_tokens": pa.array(np.diff(ends), pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())), "exact": pa.array(exact, pa.bool_())})
+
+    return run
+
+
 def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_tokens, ids, exact (decoding gives the text back, null as empty;
-    false only for texts with a blank mark)."""
-    d = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    both = decode(encode(d, model), model)
-    return both.select(id_col, F.size("ids").cast("bigint").alias("n_tokens"), "ids", (F.col("text") == F.col("decoded")).alias("exact"))
+    false only for texts with a blank mark). Encoded and decoded slice by slice in one task."""
+    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    out = d.mapInArrow(_round_trip(Vocabulary.load(model)), f"id {d.schema['id'].dataType.simpleString()}, n_tokens bigint, ids array<int>, exact boolean")
+    return out.withColumnRenamed("id", id_col)
