@@ -1,0 +1 @@
+"""headmint: message-header analytics on Spark DataFrames."""

@@ -1,0 +1 @@
+"""No streaming operator: the workload has no streams, watermarks or state."""
