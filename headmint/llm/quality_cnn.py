@@ -49,11 +49,14 @@ class Network:
 
 
 def padded(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Texts laid out from block to block with zeros between; blocks of each text (one at least)."""
+    """Texts laid out from block to block; blocks of each text (one at least).
+
+    TAPS - 1 zeros before and after each text keep a filter at one's end from reading the next.
+    """
     size = np.diff(off)
-    blocks = -(-(size + TAPS - 1) // BLOCK)
+    blocks = -(-(size + 2 * (TAPS - 1)) // BLOCK)
     x = np.zeros(int(blocks.sum()) * BLOCK + TAPS, np.uint8)
-    begin = (np.cumsum(blocks) - blocks) * BLOCK
+    begin = (np.cumsum(blocks) - blocks) * BLOCK + TAPS - 1
     if len(size) < len(buf) // 256:  # long texts: copy one by one
         for a, b, n in zip(begin.tolist(), off[:-1].tolist(), size.tolist(), strict=True):
             x[a : a + n] = buf[b : b + n]
