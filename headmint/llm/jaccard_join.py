@@ -449,7 +449,8 @@ def links(sets: DataFrame, folder: str, num: int, den: int, block_shingles: int
     full = sets.drop("prefix").join(of, "set_key")
     rest = full.join(top, "near").filter("component <> top").drop("block", "top").join(n_blocks, "near")
     rest = rest.withColumn("block", F.explode(F.sequence(F.lit(0), "blocks"))).drop("blocks")
-    cross = rest.groupBy("near", "block").cogroup(full.groupBy("near", "block")).applyInPandas(_against_block(num, den), "u bigint, v bigint")
+    rest = rest.select(*(F.col(c).alias(f"q_{c}") if c in ("near", "block") else F.col(c).alias(c, metadata={"of": "query"}) for c in rest.columns))
+    cross = rest.groupBy("q_near", "q_block").cogroup(full.groupBy("near", "block")).applyInPandas(_against_block(num, den), "u bigint, v bigint")
     return out.unionByName(met).unionByName(stored(cross, f"{folder}/cross"))
 
 
