@@ -26,12 +26,14 @@ SHARD_ROWS = 8192
 BLOCK_QUERIES = 4096
 PILOT_ROWS = 1024
 LEAF = 128
-LIMIT = (1 << 31) - 1  # larger components are cut to this
-EXACT = float(1 << 53)
+LIMIT = float(1 << 62)  # larger components are cut to this
+MOST = (1 << 63) - 1  # scores beyond a long are cut to this
+EXACT, LONG = float(1 << 53), float(1 << 62)  # up to here products of doubles, of 64-bit integers, are exact
 
 
 def quantised(column: pa.Array, scale: float = 256.0) -> tuple[np.ndarray, list[bytes]]:
-    """Numbers of the rows that take part, and floor(scale * x) of them as 32-bit integers."""
+    """Numbers of the rows that take part, and floor(scale * x) of them: a byte for the width
+    (4 or 8) and integers of that width."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     values = column.flatten()
@@ -40,8 +42,15 @@ def quantised(column: pa.Array, scale: float = 256.0) -> tuple[np.ndarray, list[
     ends = np.cumsum(lengths)
     bad = np.concatenate([[0], np.cumsum(~np.isfinite(x))])
     good = np.flatnonzero(np.asarray(column.is_valid()) & (bad[ends] == bad[ends - lengths]))
-    q = np.clip(np.floor(scale * np.where(np.isfinite(x), x, 0)), -LIMIT, LIMIT).astype(np.int32)
-    return good, [q[ends[i] - lengths[i] : ends[i]].tobytes() for i in good.tolist()]
+    q = np.clip(np.floor(scale * np.where(np.isfinite(x), x, 0)), -LIMIT, LIMIT).astype(np.int64)
+    wide = np.concatenate([[0], np.cumsum(np.abs(q) >= 1 << 31)])
+    low, high = (ends - lengths)[good], ends[good]
+    narrow = q.astype(np.int32)
+    return good, [b"\x08" + q[a:b].tobytes() if w else b"\x04" + narrow[a:b].tobytes() for a, b, w in zip(low.tolist(), high.tolist(), (wide[high] > wide[low]).tolist(), strict=True)]
+
+
+def numbers(vector: bytes) -> np.ndarray:
+    return np.frombuffer(vector, np.int32 if vector[0] == 4 else np.int64, offset=1)
 
 
 def _quantise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,18 +59,24 @@ def _quantise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"vec_id": b.column(0).take(pa.array(at)), "vector": pa.array(vectors, pa.binary())})
 
 
-def matrix(vectors: list[bytes], width: int | None = None) -> np.ndarray:
+def width_of(vector: bytes) -> int:
+    return (len(vector) - 1) // vector[0]
+
+
+def matrix(vectors: list[bytes], width: int) -> np.ndarray:
     """Vectors as rows; shorter ones are filled up with zeros, which add nothing to a product."""
-    width = max((len(v) // 4 for v in vectors), default=0) if width is None else width
-    if all(len(v) == 4 * width for v in vectors):
-        return np.frombuffer(b"".join(vectors), np.int32).reshape(len(vectors), width).astype(np.int64)
     out = np.zeros((len(vectors), width), np.int64)
     for k, v in enumerate(vectors):
-        a = np.frombuffer(v, np.int32)[:width]
+        a = numbers(v)
         out[k, : len(a)] = a
     return out
 
 
+def exact_kind(largest: float) -> type:
+    """The number type in which sums of products up to `largest` are exact."""
+    return np.float64 if largest < EXACT else np.int64 if largest < LONG else object
+
+
 class KDTree:
     def __init__(self, points: np.ndarray, leaf: int = LEAF):
         self.order = np.arange(len(points))
@@ -100,16 +115,16 @@ class KDTree:
         while todo:
             b, node = heapq.heappop(todo)
             least = best[0][0] if len(best) == k else floor
-            if -b < least:
+            if least is not None and -b < least:
                 break
             if self.child[node] is not None:
                 for c in self.child[node]:
-                    if bound[c] >= least:
+                    if least is None or bound[c] >= least:
                         heapq.heappush(todo, (-bound[c], c))
                 continue
             x, y = self.span[node]
             scores = self.sorted[x:y] @ query
-            for j in np.flatnonzero(scores >= least).tolist():
+            for j in range(y - x) if least is None else np.flatnonzero(scores >= least).tolist():
                 p = int(self.order[x + j])
                 if p == skip:
                     continue
@@ -130,22 +145,22 @@ def _answer(k: int, pilot: list[bytes]):
         out = []
         if shard.num_rows and block.num_rows:
             vectors, asked = shard.column("vector").to_pylist(), block.column("vector").to_pylist()
-            width = max(len(v) // 4 for v in [*vectors, *asked, *pilot])
+            width = max(width_of(v) for v in [*vectors, *asked, *pilot])
             points, queries, known = (matrix(v, width) for v in (vectors, asked, pilot))
-            # products of doubles are exact up to 2**53; beyond that integers are multiplied
-            if float(max(np.abs(points).max(initial=0), np.abs(known).max(initial=0))) * float(np.abs(queries).max(initial=0)) * max(1, width) < EXACT:
-                points, queries, known = points.astype(np.float64), queries.astype(np.float64), known.astype(np.float64)
+            largest = float(max(np.abs(points).max(initial=0), np.abs(known).max(initial=0))) * float(np.abs(queries).max(initial=0)) * max(1, width)
+            kind = exact_kind(largest)
+            points, queries, known = points.astype(kind), queries.astype(kind), known.astype(kind)
             rows, asked_rows = shard.column("row").to_numpy(), block.column("row").to_numpy()
             ids, asked_ids = shard.column("vec_id").to_numpy(), block.column("vec_id").to_numpy()
             place = {r: p for p, r in enumerate(rows.tolist())}
-            floors = np.full(len(queries), -np.inf)
+            floors = [None] * len(queries)
             if len(known) > k:  # one of them may be the query's own: the (k+1)-th best is safe
-                floors = kth_best(queries @ known.T, k + 1).astype(np.float64)
+                floors = kth_best(queries @ known.T, k + 1).tolist()
             tree = KDTree(points)
             bounds = tree.bounds(queries)
             for q in range(len(queries)):
                 for score, vec_id, _ in tree.search(queries[q], bounds[q], ids, place.get(int(asked_rows[q]), -1), k, floors[q]):
-                    out.append((int(asked_rows[q]), int(asked_ids[q]), -vec_id, score))
+                    out.append((int(asked_rows[q]), int(asked_ids[q]), -vec_id, max(-MOST, min(MOST, score))))
         cols = list(zip(*out, strict=True)) or [()] * 4
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("asked", "query_id", "vec_id", "score"), cols, strict=True)})
 
@@ -156,7 +171,8 @@ def kd_topk(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
     """query_id, rank, vec_id, score: of each row that the condition is_query holds for, the k
     rows of highest integer inner product, its own left out, ties to the smaller id.
 
-    Components become floor(256 * x), cut to 32 bits. Rows with a null id, a null vector or a
+    Components become floor(256 * x), cut to 62 bits; scores are exact and, where they pass
+    a long, cut to the largest one after ranking within a shard. Rows with a null id, a null vector or a
     null or non-finite component take no part. Shorter vectors are filled up with zeros.
     Repeated rows are rows of their own: each is a candidate, and each that is a query is
     answered. Fewer than k candidates give fewer rows. Other columns are ignored.

@@ -204,7 +204,7 @@ def rule_spans(text: Column, rule: Rule) -> Column:
     return F.aggregate(F.filter(zipped, lambda x: x["size"].isNotNull()), start, step)["out"]
 
 
-def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ()) -> DataFrame:
+def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = (), spans_col: str = "spans") -> DataFrame:
     """One row per document: id, spans (start, end, kind; code points, end exclusive) by start,
     then the rules' order; and the columns of docs named in keep.
 
@@ -226,12 +226,13 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rank = F.map_from_arrays(F.array(*(F.lit(r.kind) for r in rules)), F.array(*(F.lit(k) for k in range(len(rules)))))
     ranked = F.transform(F.concat(*spans), lambda s: F.struct(s["start"].alias("start"), rank[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
     ordered = F.transform(F.array_sort(ranked), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    return d.select(F.col("id").alias(id_col), ordered.alias("spans"), *(F.col(c).alias(c[5:]) for c in kept))
+    return d.select(F.col("id").alias(id_col), ordered.alias(spans_col), *(F.col(c).alias(c[5:]) for c in kept))
 
 
 def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with each stretch of overlapping or touching spans replaced by mark; columns stay."""
-    found = secret_spans(docs, id_col, text_col, rules, tuple(c for c in docs.columns if c != id_col))
+    spans = "_".join(["spans", *docs.columns])  # no column of docs has this name
+    found = secret_spans(docs, id_col, text_col, rules, tuple(c for c in docs.columns if c != id_col), spans)
     text = F.col(text_col)
 
     def step(acc: Column, s: Column) -> Column:
@@ -242,5 +243,5 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), grown.alias("out"))
 
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
-    cut = F.aggregate("spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.char_length(text))))
-    return found.withColumn(text_col, F.when(F.size("spans") > 0, cut).otherwise(text)).select(*docs.columns)
+    cut = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.char_length(text))))
+    return found.withColumn(text_col, F.when(F.size(spans) > 0, cut).otherwise(text)).select(*docs.columns)
