@@ -108,7 +108,9 @@ def _all(parsed) -> set[str] | None:
 
 
 def trigrams(s: str) -> frozenset[str]:
-    return frozenset(s[i : i + 3] for i in range(len(s) - 2))
+    """Trigrams that cover a string end to end: fewer postings, and any text with s has them all."""
+    last = len(s) - 3
+    return frozenset(s[i : i + 3] for i in {*range(0, last + 1, 3), max(last, 0)} if last >= 0)
 
 
 def _simplest(clauses: set[frozenset[str]]) -> set[frozenset[str]]:
@@ -125,7 +127,7 @@ def trigram_query(pattern: str) -> set[frozenset[str]]:
 
     def require(strings: set[str]) -> None:
         nonlocal query
-        clauses = {trigrams(s) for s in strings}
+        clauses = {trigrams(s) for s in strings if not any(o != s and o in s for o in strings)}  # a text with s has o
         if clauses and len(query) * len(clauses) <= 256:
             query = _simplest({a | b for a in query for b in clauses})
 
