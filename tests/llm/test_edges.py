@@ -388,3 +388,24 @@ def test_warc_edges(spark, tmp_path):
         plain = zstandard.ZstdDecompressor().stream_reader(open(b.removeprefix("file://"), "rb"), read_across_frames=True).read()
         assert plain.startswith(b"WARC/1.1\r\n") and plain.endswith(b"\r\n\r\n")
     assert warc.warc_round_trip(p.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("held", [1_000_000, 3])
+def test_components_equal_union_find(spark, tmp_path, monkeypatch, held):
+    from headmint.llm import components
+
+    monkeypatch.setattr(components, "HELD_EDGES", held)
+    rng = random.Random(held)
+    edges = [(k, k + 1) for k in range(100, 140)] + [(200, k) for k in range(201, 230)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(7, 7), (None, 3), (-5, 300), (300, -9)]
+    rng.shuffle(edges)
+    label = {}
+    for a, b in edges:
+        if a is not None and a != b:
+            label.setdefault(a, a)
+            label.setdefault(b, b)
+            x, y = label[a], label[b]
+            label = {k: min(x, y) if v in (x, y) else v for k, v in label.items()}
+    df = spark.createDataFrame(edges, "u bigint, v bigint").repartition(8)
+    got = components.components(df, f"file://{tmp_path}/c").collect()
+    assert sorted(tuple(r) for r in got) == sorted(label.items())
+    assert components.components(df.limit(0), f"file://{tmp_path}/e").count() == 0
