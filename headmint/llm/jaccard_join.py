@@ -41,7 +41,9 @@ from headmint.llm.components import components
 
 RANGE_BYTES = 12 << 20  # text whose shingles one reducer gets
 BLOCK_SHINGLES = 4_000_000  # shingles of a block of a neighbourhood
-PROBE_WEIGHT = 0.03  # DivideSkip: what a probe costs against a step of the merge
+PROBE_WEIGHT = 0.004  # DivideSkip: what a probe costs against a step of the merge
+DENSE = 4  # entries a set in the short lists, beyond which they are counted instead of merged
+PROBE_LISTS = 24  # long lists probed at once, before candidates are dropped
 
 MAX_BITS = 1 << 27  # of the bitmap of sets: 16 MB
 LOW48 = np.uint64((1 << 48) - 1)
@@ -282,39 +284,51 @@ class InvertedLists:
     def __init__(self, sets: list[np.ndarray], sizes: np.ndarray):
         self.sizes = sizes
         sh = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        at = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
+        at = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
         order = np.argsort(sh, kind="stable")
         sh, self.at = sh[order], at[order]
         self.start, self.end = runs(sh)
         self.shingle = sh[self.start]
+        self.n = len(sets)
+        # list number and set number as one ascending key: all lists are probed by one binary search
+        self.key = np.repeat(np.arange(len(self.start)), self.end - self.start) * self.n + self.at
 
-    def lists(self, query: np.ndarray) -> list[np.ndarray]:
+    def lists(self, query: np.ndarray) -> np.ndarray:
+        """Numbers of the query's lists, shortest first."""
         k = np.searchsorted(self.shingle, query)
-        k = k[(k < len(self.shingle))]
-        k = k[np.isin(self.shingle[k], query, assume_unique=False)] if len(k) else k
-        return [self.at[a:b] for a, b in zip(self.start[k].tolist(), self.end[k].tolist(), strict=True)]
+        k = np.minimum(k, max(len(self.shingle) - 1, 0))
+        k = k[self.shingle[k] == query] if len(self.shingle) else k[:0]
+        return k[np.argsort(self.end[k] - self.start[k], kind="stable")]
+
+    def merged(self, lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(set, number of lists that hold it), ascending: by a heap over the lists' fronts; where
+        they hold more entries than there are sets several times over, by counting them all."""
+        if sum(map(len, lists)) > DENSE * self.n:
+            count = np.bincount(np.concatenate(lists), minlength=self.n)
+            cand = np.flatnonzero(count)
+            return cand, count[cand]
+        pairs = [(s, sum(1 for _ in hits)) for s, hits in groupby(heapq.merge(*(x.tolist() for x in lists)))]
+        return np.array([s for s, _ in pairs], np.int64), np.array([c for _, c in pairs], np.int64)
 
     def search(self, query: np.ndarray, size: int, skip: np.ndarray, num: int, den: int) -> Iterator[tuple[int, int]]:
         """DivideSkip: (set, overlap) of sets that link to the query; skip marks sets of no interest."""
         least = int(need(size, num, den))
-        lists = sorted(self.lists(query), key=len)
-        if len(lists) < least:
+        k = self.lists(query)
+        if len(k) < least:
             return
-        # long lists: as many as leave a merge threshold of one or more, fewer where the longest are short
-        longest = len(lists[-1])
+        longest = int(self.end[k[-1]] - self.start[k[-1]])
         aside = min(least - 1, int(least / (PROBE_WEIGHT * np.log2(longest + 1) + 1)))
-        short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
-        wanted = []
-        for s, hits in groupby(heapq.merge(*(x.tolist() for x in short))):
-            if not skip[s] and (c := sum(1 for _ in hits)) >= least - aside:
-                wanted.append((s, c))
-        if not wanted:
+        short, long = k[: len(k) - aside], k[len(k) - aside :]
+        cand, seen = self.merged([self.at[a:b] for a, b in zip(self.start[short].tolist(), self.end[short].tolist(), strict=True)])
+        good = (seen >= least - aside) & ~skip[cand]
+        cand, seen = cand[good], seen[good]
+        if not len(cand):
             return
-        cand, seen = np.array([s for s, _ in wanted], np.int32), np.array([c for _, c in wanted])
-        for k, x in enumerate(long):  # binary probes, dropping sets that can't reach the bound any more
-            at = np.searchsorted(x, cand)
-            seen += (at < len(x)) & (x[np.minimum(at, len(x) - 1)] == cand)
-            alive = seen + (len(long) - k - 1) >= least
+        for a in range(0, len(long), PROBE_LISTS):
+            probe = (long[a : a + PROBE_LISTS, None] * self.n + cand).ravel()
+            at = np.minimum(np.searchsorted(self.key, probe), len(self.key) - 1)
+            seen = seen + (self.key[at] == probe).reshape(-1, len(cand)).sum(axis=0)
+            alive = seen + max(0, len(long) - a - PROBE_LISTS) >= least  # the others can't reach the bound
             cand, seen = cand[alive], seen[alive]
             if not len(cand):
                 return
@@ -365,10 +379,10 @@ def block_components(sets: list[np.ndarray], sizes: np.ndarray, num: int, den: i
     rest = np.flatnonzero(label != count.argmax())
     if len(rest):
         index = InvertedLists(sets, sizes)
+        asked = np.zeros(n, bool)  # what has searched needn't be found
         for i in rest.tolist():
-            label = u.labels() if n < 512 or i % 64 == 0 else label
-            skip = label == label[i]
-            for j, _ in index.search(sets[i], int(sizes[i]), skip, num, den):
+            asked[i] = True
+            for j, _ in index.search(sets[i], int(sizes[i]), asked | (label == label[i]), num, den):
                 u.join(i, j)
     return u.labels()
 

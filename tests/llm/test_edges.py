@@ -84,9 +84,11 @@ def test_jaccard_equals_all_pairs(spark, seed, block):
     assert sorted(tuple(r) for r in got.collect()) == components_of(texts)
 
 
-def test_divide_skip_finds_every_overlap():
+@pytest.mark.parametrize("dense", [0, 4, 10**9])
+def test_divide_skip_finds_every_overlap(monkeypatch, dense):
     import numpy as np
 
+    monkeypatch.setattr(jaccard_join, "DENSE", dense)
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 60, rng.integers(5, 40)).astype(np.uint64)) for _ in range(120)]
     sizes = np.array([len(s) for s in sets])
