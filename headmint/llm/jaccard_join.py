@@ -13,9 +13,9 @@ of which moves numbers only, in blocks:
    back the shared ones with their document frequency. By rising frequency, the first
    size - ceil(threshold * size) + 1 shingles of a set form its prefix, and sets that link
    have a prefix shingle in common.
-3. Neighbourhoods. Sets of compatible size next to each other in a prefix shingle's list
-   are chained (a list of n gives n - 1 edges, not n * n pairs); connected components of
-   the chains hold all links.
+3. Neighbourhoods. Sets of a prefix shingle's list are linked to the first of their size
+   class, and classes next to each other by their firsts (a list of n gives fewer than 2 n
+   edges, not n * n pairs, and no list is gathered); connected components hold all links.
 4. T-occurrence search (DivideSkip) in each neighbourhood over its inverted lists: the
    longest lists are set aside, the short ones are heap-merged, sets seen often enough are
    probed for in the long lists by binary search. Sets that are already in one component
@@ -27,13 +27,14 @@ of which moves numbers only, in blocks:
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from headmint.llm.common import lower_ascii, mix, parts, runs, shared_dir, split_words, stored, text_bytes, text_slices, windows
@@ -422,26 +423,26 @@ def _against_block(num: int, den: int):
     return run
 
 
+def _blocked(placed: DataFrame, block_shingles: int) -> DataFrame:
+    """(set_key, near, block): sets of a neighbourhood dealt evenly to blocks of about block_shingles."""
+    blocks = placed.groupBy("near").agg(F.sum("size").alias("total")).select("near", F.ceil(F.col("total") / block_shingles).cast("int").alias("n"))
+    return placed.join(blocks, "near").select("set_key", "near", F.pmod(F.xxhash64("set_key"), "n").cast("int").alias("block"))
+
+
 def links(sets: DataFrame, folder: str, num: int, den: int, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """Edges u, v (set keys) that span the same components as all links do."""
-    spark = sets.sparkSession
     prefix = sets.select("set_key", "n", "prefix").mapInArrow(_prefix_rows, "shingle bigint, set_key bigint, n int")
-    by_size = Window.partitionBy("shingle").orderBy("n", "set_key")
-    chain = (
-        prefix.withColumns({"v": F.lag("set_key").over(by_size), "m": F.lag("n").over(by_size)})
-        .filter(F.col("v").isNotNull() & (F.col("m") * den >= F.col("n") * num))
-        .select(F.col("set_key").alias("u"), "v")
-    )
+    # sets of one size class meet at its smallest key, classes next to each other at theirs
+    step = math.log(den / num) * (1 + 1e-9)  # sets that link are at most a class apart
+    listed = prefix.withColumn("class", F.floor(F.log("n") / step).cast("int"))
+    first = listed.groupBy("shingle", "class").agg(F.min("set_key").alias("v"))
+    stars = listed.join(first, ["shingle", "class"]).filter("set_key <> v").select(F.col("set_key").alias("u"), "v")
+    above = first.select("shingle", (F.col("class") + 1).alias("class"), F.col("v").alias("u"))
+    chain = stars.unionByName(first.join(above, ["shingle", "class"]).select("u", "v"))
     near = stored(components(chain, f"{folder}/near"), f"{folder}/neighbourhoods")
-    before = Window.partitionBy("near").orderBy("set_key").rowsBetween(Window.unboundedPreceding, -1)
-    cut = (
-        sets.drop("prefix")
-        .join(near.withColumnRenamed("node", "set_key"), "set_key")
-        .withColumn("size", F.octet_length("shingles") / 8)
-        .select("set_key", "size", F.col("component").alias("near"))
-        .withColumn("block", F.floor(F.coalesce(F.sum("size").over(before), F.lit(0)) / block_shingles).cast("int"))
-        .drop("size")
-    )
+    size = (F.octet_length("shingles") / 8).cast("bigint") + 16  # small sets count for their row too
+    placed = sets.select("set_key", size.alias("size")).join(near.select(F.col("node").alias("set_key"), F.col("component").alias("near")), "set_key")
+    cut = _blocked(placed, block_shingles)
     cut = stored(cut, f"{folder}/blocks")
     full = sets.drop("prefix").join(cut, "set_key")
     first = stored(full.groupBy("near", "block").applyInPandas(_in_block(num, den), "u bigint, v bigint"), f"{folder}/in_block")
@@ -450,9 +451,8 @@ def links(sets: DataFrame, folder: str, num: int, den: int, block_shingles: int
     if large.isEmpty():
         return out
     # neighbourhoods of several blocks: the components' leaders meet, then what stays outside the largest meets all blocks
-    lead = first.select(F.col("v").alias("set_key")).distinct().join(full.join(large, "near", "left_semi"), "set_key")
-    size = F.octet_length("shingles") / 8
-    lead = lead.withColumn("block", F.floor(F.coalesce(F.sum(size).over(before), F.lit(0)) / block_shingles).cast("int"))
+    lead = first.select(F.col("v").alias("set_key")).distinct().join(cut.join(large, "near", "left_semi"), "set_key").select("set_key", "near").join(placed.select("set_key", "size"), "set_key")
+    lead = sets.drop("prefix").join(_blocked(lead, block_shingles), "set_key")
     met = stored(lead.groupBy("near", "block").applyInPandas(_in_block(num, den), "u bigint, v bigint").filter("u <> v"), f"{folder}/leaders")
     comp = first.join(met.select(F.col("u").alias("v"), F.col("v").alias("w")), "v", "left").select(F.col("u").alias("set_key"), F.coalesce("w", "v").alias("component"))
     of = cut.join(large, "near", "left_semi").join(comp, "set_key")
