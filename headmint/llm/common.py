@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from headmint.sources.scratch import fresh_folder as shared_dir
+from headmint.sources.scratch import stored
+from headmint.sources.tables import table
+
+__all__ = ["Words", "hash_ranges", "lower_ascii", "mix", "parts", "runs", "shared_dir", "split_words", "stored", "table", "text_bytes", "text_slices", "windows"]
+
 SLICE_BYTES = 8 << 20  # text handled at once; a longer text makes a slice of its own
 HASH_BYTES = 1 << 20  # bytes whose running hash is held at once; a longer word is hashed alone
 
@@ -19,35 +23,6 @@ _BASE = 0x9E3779B97F4A7C15
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir, which all executors and the driver see.
-
-    Only where the setting is absent (local tests) a temporary folder is used.
-    The folder goes when the JVM ends.
-    """
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = getattr(sc, "_headmint_dir", None) or f"file://{tempfile.mkdtemp(prefix='headmint-')}"
-        sc._headmint_dir = base
-    path = f"{base.rstrip('/')}/headmint-{uuid.uuid4().hex}"
-    hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(sc._jsc.hadoopConfiguration())
-    fs.mkdirs(hadoop)
-    fs.deleteOnExit(hadoop)
-    return path
-
-
-def stored(df: DataFrame, path: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage and outlives executors."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def parts(spark: SparkSession, n_bytes: int, each: int) -> int:
     """Pieces of about `each` bytes, at least two for every core."""
     return max(2 * spark.sparkContext.defaultParallelism, -(-int(n_bytes) // each))
@@ -57,10 +32,6 @@ def text_bytes(df: DataFrame, column: str = "text") -> int:
     return df.agg(F.sum(F.octet_length(column))).first()[0] or 0
 
 
-def same(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)
-
-
 # ---------------------------------------------------------------- text in numpy
 
 
