@@ -13,21 +13,15 @@ between the matches, and running lengths give the offsets.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
+from re import _constants as sre
+from re import _parser as sre_parse  # the parser of regular expressions, by its name since Python 3.11
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headmint.llm.common import shared_dir, stored
 
-try:  # the parser of regular expressions, by its name since Python 3.11
-    from re import _constants as sre
-    from re import _parser as sre_parse
-except ImportError:  # pragma: no cover
-    import sre_constants as sre
-    import sre_parse
-
 
 @dataclass(frozen=True)
 class Rule:
