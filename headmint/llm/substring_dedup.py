@@ -28,7 +28,8 @@ DEPTH = 2
 MAX_CELLS = 1 << 30  # a hash row; two rows of bits are 256 MB
 SEGMENT_CELLS = 1 << 22  # counts that one reducer of the sketch holds
 FLUSH_WINDOWS = 6_000_000
-RANGE_BYTES = 12 << 20
+RANGE_BYTES = 32 << 20  # text whose repeated windows one reducer gets
+PART_BYTES = 12 << 20  # text whose words one task keeps or drops
 LOW48 = np.uint64((1 << 48) - 1)
 NO_ID = np.iinfo(np.int64).max
 
@@ -143,7 +144,8 @@ def _occurrences(size: int, width: int, ranges: int, shared):
                 first, h, part = first[order], h[order] & LOW48, part[order]
                 cut = np.searchsorted(part, np.arange(ranges + 1))
                 has = np.flatnonzero(cut[1:] > cut[:-1])
-                rows = np.rec.fromarrays([key[lo:hi], ids[lo:hi], np.searchsorted(w.row, np.arange(hi - lo)).astype(np.uint32)], dtype=ROWS).tobytes()
+                some = np.unique(w.row[first])  # rows without a repeated window aren't sent
+                rows = np.rec.fromarrays([key[lo + some], ids[lo + some], np.searchsorted(w.row, some).astype(np.uint32)], dtype=ROWS).tobytes()
                 piece = lambda a: pa.array([a[cut[r] : cut[r + 1]].tobytes() for r in has], pa.binary())
                 yield pa.record_batch(
                     {
@@ -158,7 +160,7 @@ def _occurrences(size: int, width: int, ranges: int, shared):
     return run
 
 
-def _later(ranges: int):
+def _later(dealt: int):
     """Reducer of a hash range: occurrences in documents above the window's smallest, dealt out by row."""
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
@@ -176,12 +178,12 @@ def _later(ranges: int):
         low = np.minimum.reduceat(ids[order], start)
         later = order[ids[order] > np.repeat(low, end - start)]
         keys, word = keys[later], word[later]
-        to = keys % ranges
+        to = keys % dealt
         order = np.lexsort((word, keys, to))
         keys, word, to = keys[order], word[order], to[order]
         one, end = runs(keys)
         n = (end - one).astype(np.uint32)
-        cut = np.searchsorted(to[one], np.arange(ranges + 1))
+        cut = np.searchsorted(to[one], np.arange(dealt + 1))
         ends = np.append(one, len(keys))[cut]
         has = np.flatnonzero(cut[1:] > cut[:-1])
         return pa.table(
@@ -259,11 +261,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     n = text_bytes(text)
     width = 1 << min(max(16, int(n / 6).bit_length()), int(max_cells).bit_length() - 1)
-    ranges = parts(spark, n, RANGE_BYTES)
+    ranges, dealt = parts(spark, n, RANGE_BYTES), parts(spark, n, PART_BYTES)
     bits = spark.sparkContext.broadcast(merged_sketch(text.select("text"), size, width))
     keyed = text.withColumn("row_key", F.xxhash64("doc_id", "text"))
     found = keyed.select("row_key", "doc_id", "text").mapInArrow(_occurrences(size, width, ranges, bits), "part int, rows binary, low binary, high binary, word binary")
-    marks = found.groupBy("part").applyInArrow(_later(ranges), "part int, keys binary, counts binary, words binary")
-    dealt = keyed.withColumn("part", F.pmod("row_key", F.lit(ranges)).cast("int"))
-    out = dealt.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(_kept(size), "doc_id bigint, n_words bigint, n_removed bigint, kept string")
+    marks = found.groupBy("part").applyInArrow(_later(dealt), "part int, keys binary, counts binary, words binary")
+    rows = keyed.withColumn("part", F.pmod("row_key", F.lit(dealt)).cast("int"))
+    out = rows.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(_kept(size), "doc_id bigint, n_words bigint, n_removed bigint, kept string")
     return out.withColumnRenamed("doc_id", id_col)
