@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from headmint.functions import patterns as P
-from headmint.functions.text import collapse_space, extract, null_if_empty, or_empty, replace_each
+from headmint.functions.text import collapse_space, extract, let, null_if_empty, or_empty, replace_each
 
 
 def _unquote(c: Column) -> Column:
@@ -36,19 +36,25 @@ def domain_part(email: Column) -> Column:
 def email(c: Column) -> Column:
     """The first address in a text, cleaned: quoted remains decoded, misread hosts repaired,
     no dots in the local part (of any domain), null beyond the length limits."""
-    plain = _hash_as_at(_unquote(F.lower(c)))
-    # the address pattern is only tried where it can match
-    found = _misread(F.when(F.contains(plain, F.lit("@")), extract(plain, P.EMAIL)))
-    local, domain = F.replace(local_part(found), F.lit("."), F.lit("")), domain_part(found)
-    whole = F.concat(local, F.lit("@"), domain)
-    fits = (F.char_length(whole) <= P.MAX_ADDRESS) & (F.char_length(local) <= P.MAX_LOCAL) & (F.char_length(domain) <= P.MAX_DOMAIN)
-    return F.when(fits, whole)
+
+    def found(plain: Column) -> Column:  # the address pattern is only tried where it can match
+        return _misread(F.when(F.contains(plain, F.lit("@")), extract(plain, P.EMAIL)))
+
+    def parts(f: Column) -> Column:
+        return F.struct(F.replace(local_part(f), F.lit("."), F.lit("")).alias("local"), domain_part(f).alias("domain"))
+
+    def whole(p: Column) -> Column:
+        n, m = F.char_length(p["local"]), F.char_length(p["domain"])
+        fits = (n + m + 1 <= P.MAX_ADDRESS) & (n <= P.MAX_LOCAL) & (m <= P.MAX_DOMAIN)
+        return F.when(fits, F.concat(p["local"], F.lit("@"), p["domain"]))
+
+    return let(_hash_as_at(_unquote(F.lower(c))), lambda plain: let(found(plain), lambda f: let(parts(f), whole)))
 
 
 def display_name(c: Column) -> Column:
     """What is left of a text without addresses, brackets and quotes; case is kept."""
     c = or_empty(c)
-    c = F.when(F.contains(c, F.lit("@")), F.regexp_replace(c, P.EMAIL, " ")).otherwise(c)
+    c = let(c, lambda x: F.when(F.contains(x, F.lit("@")), F.regexp_replace(x, P.EMAIL, " ")).otherwise(x))
     c = collapse_space(F.regexp_replace(c, r"""[<>\[\]\(\)"']""", " "))
     edge = f"[,;:\\-\\t-\\r\\x{{85}}\\p{{Z}}]+"
     return null_if_empty(F.regexp_replace(c, f"^{edge}|{edge}\\z", ""))
@@ -76,8 +82,7 @@ def canonical_email(c: Column) -> Column:
 
 def name_key(c: Column) -> Column:
     """Letters a-z of a display name, without addresses; & is read as and; empty is null."""
-    c = F.lower(c)
-    c = F.when(F.contains(c, F.lit("@")), F.regexp_replace(c, P.EMAIL, " ")).otherwise(c)
+    c = let(F.lower(c), lambda x: F.when(F.contains(x, F.lit("@")), F.regexp_replace(x, P.EMAIL, " ")).otherwise(x))
     c = replace_each(c, [("&", "and"), ("mailto:", " ")])
     return null_if_empty(F.regexp_replace(c, "[^a-z]", ""))
 

@@ -2,16 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headmint.functions import patterns as P
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once a row, however often body uses it.
+
+    Without it the optimiser writes the whole expression in every place where it is used.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def null_if_empty(c: Column) -> Column:
-    return F.nullif(c, F.lit(""))
+    return let(c, lambda x: F.when(x != "", x))
+
+
+def staged(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with columns that later steps read as values: the generator keeps their expressions
+    from being merged into those steps."""
+    made = F.explode_outer(F.array(F.struct(*(v.alias(k) for k, v in columns.items()))))
+    return df.select("*", made.alias("_made")).select(*df.columns, *(F.col(f"_made.{k}") for k in columns))
 
 
 def extract(c: Column, pattern: str, group: int = 1) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,11 +35,11 @@ def normalized_messages(messages: DataFrame) -> DataFrame:
     return m.select("id", "sender", "sender_normalized", *(x for c in RECIPIENT_ROLES for x in (c, f"{c}_normalized")), "account_email", "account_email_normalized")
 
 
-def address_rows(messages: DataFrame) -> DataFrame:
-    """id, address_role, address_index, normalized_value of every address that isn't empty.
+def _unpivoted(messages: DataFrame, made: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """id, address_role, address_index, normalized_value and the columns made from it.
 
-    One scan and one generator for all five roles. address_index counts from 0 within a
-    recipient list and is null for sender and account_email.
+    One scan and one generator for all five roles. What is made is worked out inside the
+    array, so the generator hands on values, not expressions to be repeated.
     """
     m = keep_regular(messages)
     none = F.lit(None).cast("bigint")
@@ -50,14 +52,26 @@ def address_rows(messages: DataFrame) -> DataFrame:
 
     empty = F.array().cast("array<struct<address_role:string,address_index:bigint,value:string>>")
     rows = F.concat(F.array(one("sender"), one("account_email")), *(F.coalesce(many(r), empty) for r in RECIPIENT_ROLES))
-    return m.select("id", F.explode(rows).alias("a")).select("id", "a.address_role", "a.address_index", text.normalize_text(F.col("a.value")).alias("normalized_value")).filter(F.col("normalized_value").isNotNull())
+    clean = F.transform(rows, lambda r: F.struct(r["address_role"], r["address_index"], text.normalize_text(r["value"]).alias("normalized_value")))
+    found = F.filter(clean, lambda r: r["normalized_value"].isNotNull())
+    if made:
+        found = F.transform(found, lambda r: F.struct(r["address_role"], r["address_index"], r["normalized_value"], *(f(r["normalized_value"]).alias(k) for k, f in made.items())))
+    # outer, as an inner explode would be preceded by a filter that works all of it out once more
+    return m.select("id", F.explode_outer(found).alias("a")).filter("a IS NOT NULL").select("id", "a.*")
+
+
+def address_rows(messages: DataFrame) -> DataFrame:
+    """id, address_role, address_index, normalized_value of every address that isn't empty.
+
+    address_index counts from 0 within a recipient list and is null for sender and account_email.
+    """
+    return _unpivoted(messages, {})
 
 
 def parsed_addresses(messages: DataFrame) -> DataFrame:
     """address_rows with display_name and email. raw_value is the normalised value, as always."""
-    a = address_rows(messages)
-    v = F.col("normalized_value")
-    return a.select("id", "address_role", "address_index", v.alias("raw_value"), v, address.display_name(v).alias("display_name"), address.email(v).alias("email"))
+    a = _unpivoted(messages, {"display_name": address.display_name, "email": address.email})
+    return a.select("id", "address_role", "address_index", F.col("normalized_value").alias("raw_value"), "normalized_value", "display_name", "email")
 
 
 def distinct_emails(parsed: DataFrame) -> DataFrame:

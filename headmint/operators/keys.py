@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from headmint.functions import address
 from headmint.functions.patterns import RECIPIENT_ROLES
-from headmint.functions.text import contains_any
+from headmint.functions.text import contains_any, staged
 
 SENT, RECEIVED = "sent", "received"
 
 
 def with_keys(parsed: DataFrame) -> DataFrame:
     """parsed with search_key: the name's letters, or else the address's."""
-    return parsed.withColumn("search_key", address.search_key(F.col("display_name"), F.col("email")))
+    return staged(parsed, {"search_key": address.search_key(F.col("display_name"), F.col("email"))})
 
 
 def is_focus(emails: list[str], aliases: list[str]) -> Column:

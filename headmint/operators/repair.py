@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from headmint.functions import address
 from headmint.functions import patterns as P
 from headmint.functions.similarity import letter_bound, sequence_ratio
-from headmint.functions.text import extract
+from headmint.functions.text import extract, staged
 
 ACCEPT, CERTAIN, MARGIN = 0.82, 0.995, 0.08  # fixed thresholds of the decision
 MIN_SEED = 4
@@ -34,26 +34,20 @@ def suspicious_addresses(parsed: DataFrame) -> DataFrame:
 def repair_seeds(parsed: DataFrame) -> DataFrame:
     """Suspicious rows with what repair needs: candidate, direct (an address that stands by
     itself in it, canonical), domain and compare (of the seed before a webmail domain)."""
-    c = F.col("candidate")
-    s = suspicious_addresses(parsed).withColumn("candidate", address.repair_candidate(F.col("normalized_value")))
-    found = F.when(F.contains(c, F.lit("@")), extract(c, P.EMAIL))
-    at = F.locate("\u0000", F.regexp_replace(c, P.EMAIL, "\u0000"))  # where the first match begins
-    s = s.withColumns({"found": found}).withColumn("at", F.when(F.col("found").isNotNull(), at))
-    left = F.substring(c, F.col("at") - 1, F.lit(1))
-    right = F.substring(c, F.col("at") + F.char_length("found"), F.lit(1))
-    left_ok = F.when(F.col("at") == 1, F.lit(True)).otherwise(F.contains(F.lit(P.LEFT_OF_ADDRESS), left))
-    beside = left_ok & ((right == "") | F.contains(F.lit(P.RIGHT_OF_ADDRESS), right))
-    direct = F.when(F.col("found").isNotNull() & beside, address.canonical_email(F.col("found")))
-    domain = extract(c, P.WEBMAIL_DOMAIN)
-    s = s.withColumns({"direct": direct, "host": domain})
-    seed = F.expr("substring_index(candidate, host, 1)")
-    seed = F.regexp_replace(seed, "^[^a-z0-9]+", "")
-    seed = F.regexp_replace(seed, r"[^a-z0-9._%+\-/=]+", "")
-    s = s.withColumn("seed", F.regexp_replace(seed, r"[.@]+\z", ""))
+    c, found, spot = F.col("candidate"), F.col("found"), F.col("spot")
+    s = staged(suspicious_addresses(parsed), {"candidate": address.repair_candidate(F.col("normalized_value"))})
+    first = F.when(F.contains(c, F.lit("@")), extract(c, P.EMAIL))
+    s = staged(s, {"found": first, "spot": F.locate("\0", F.regexp_replace(c, P.EMAIL, "\0")), "host": extract(c, P.WEBMAIL_DOMAIN)})
+    left, right = F.substring(c, spot - 1, F.lit(1)), F.substring(c, spot + F.char_length(found), F.lit(1))
+    apart = ((spot == 1) | F.contains(F.lit(P.LEFT_OF_ADDRESS), left)) & ((right == "") | F.contains(F.lit(P.RIGHT_OF_ADDRESS), right))
+    seed = F.regexp_replace(F.expr("substring_index(candidate, host, 1)"), "^[^a-z0-9]+", "")
+    seed = F.regexp_replace(F.regexp_replace(seed, r"[^a-z0-9._%+\-/=]+", ""), r"[.@]+\z", "")
+    s = staged(s, {"direct": F.when(found.isNotNull() & apart, address.canonical_email(found)), "seed": seed})
     usable = F.col("direct").isNull() & (F.char_length("seed") >= MIN_SEED)
-    compare = _compare_form(address.canonical_local(F.col("seed")))
-    s = s.withColumn("compare", F.when(usable & (F.char_length(compare) >= MIN_SEED), compare))
-    return s.select("id", "address_role", "address_index", "candidate", "direct", F.when(F.col("compare").isNotNull(), address.canonical_domain(F.col("host"))).alias("domain"), "compare")
+    s = staged(s, {"form": F.when(usable, _compare_form(address.canonical_local(F.col("seed"))))})
+    compare = F.when(F.char_length("form") >= MIN_SEED, F.col("form"))
+    domain = F.when(F.char_length("form") >= MIN_SEED, address.canonical_domain(F.col("host")))
+    return s.select("id", "address_role", "address_index", "candidate", "direct", domain.alias("domain"), compare.alias("compare"))
 
 
 def best_known(seeds: DataFrame, known: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from headmint.functions import address, text
 from headmint.functions import patterns as P
 from headmint.operators import addresses, audit, cards, keys, relational, repair, report, subset
 from headmint.sources.mail_view import messages
-from headmint.sources.scratch import fresh_folder
+from headmint.sources.scratch import fresh_folder, stored
 from headmint.sources.tables import read_csv, read_parquet, table, write_csv, write_parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,11 @@ def parsed(spark: SparkSession, folder: str) -> DataFrame:
     return addresses.parsed_addresses(messages(spark, folder))
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df written once, for plans that read it several times."""
+    return stored(df, f"{fresh_folder(df.sparkSession)}/table")
+
+
 def regular(spark: SparkSession, folder: str) -> DataFrame:
     return addresses.keep_regular(messages(spark, folder))
 
@@ -178,7 +183,7 @@ def repair_seed(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def fuzzy_repair(spark: SparkSession, folder: str) -> DataFrame:
-    return repair.fuzzy_repair(parsed(spark, folder)).select("id", "address_role", "address_index", "normalized_value", "email")
+    return repair.fuzzy_repair(kept(parsed(spark, folder))).select("id", "address_role", "address_index", "normalized_value", "email")
 
 
 # ------------------------------------------------------------------ keys and matching
@@ -199,7 +204,7 @@ def focus_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _exchange(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    k = keyed(spark, folder).select("id", "address_role", "email", "search_key")
+    k = kept(keyed(spark, folder).select("id", "address_role", "email", "search_key"))
     return k, keys.exchanged(k, keys.focus_ids(k, FOCUS_EMAILS, FOCUS_ALIASES))
 
 
@@ -214,7 +219,8 @@ def _targets(spark: SparkSession) -> DataFrame:
 
 def _candidates(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     k, pairs = _exchange(spark, folder)
-    return _targets(spark), keys.candidates(keys.key_stats(k, pairs), _targets(spark)), pairs
+    pairs = kept(pairs)
+    return _targets(spark), kept(keys.candidates(keys.key_stats(k, pairs), _targets(spark))), pairs
 
 
 @query
@@ -235,8 +241,8 @@ def alias_subset_kernel(spark: SparkSession, folder: str) -> DataFrame:
 def _both(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Targets, candidates, and the best masks after the directional pass."""
     targets, cands, pairs = _candidates(spark, folder)
-    base = subset.best_subset(targets, cands, pairs, method="kernel")
-    own = subset.directional_best(targets, cands, pairs, base)
+    base = kept(subset.best_subset(targets, cands, pairs, method="kernel"))
+    own = kept(subset.directional_best(targets, cands, pairs, base))
     rest = base.join(targets.filter("NOT directional").select("name"), "name")
     zero = F.lit(0).cast("bigint")
     return targets, cands, own.unionByName(rest.withColumns({"sender_extras": zero, "recipient_extras": zero}))
