@@ -172,8 +172,8 @@ def trigram_index(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
 
 def candidates(index: DataFrame, clauses: list[tuple[str, int, list[str]]]) -> DataFrame:
     """(row, kinds): rows in the intersection of all postings of some clause."""
-    spark = index.sparkSession
-    asked = spark.createDataFrame([(kind, k, t, len(ts)) for kind, k, ts in clauses for t in ts], "kind string, clause int, trigram string, needed int")
+    rows = [F.struct(F.lit(kind).alias("kind"), F.lit(k).alias("clause"), F.lit(t).alias("trigram"), F.lit(len(ts)).alias("needed")) for kind, k, ts in clauses for t in ts]
+    asked = index.sparkSession.range(1).select(F.inline(F.array(*rows)))
     counted = index.join(F.broadcast(asked), "trigram").groupBy("row", "kind", "clause").agg(F.count_distinct("trigram").alias("n"), F.first("needed").alias("needed"))
     return counted.filter("n >= needed").groupBy("row").agg(F.collect_set("kind").alias("kinds"))
 

@@ -9,7 +9,7 @@ Records with equal payloads of at least `least` bytes are written once, as the r
 the smallest id; the others are revisits that refer to it. Only digests and ids are
 grouped; payloads are shuffled once, to meet that decision.
 
-Tasks write a bundle under a name of their own (it holds the attempt's id) in the shared
+Tasks write a bundle under a name of its own (random, so attempts never meet) in the shared
 folder, through Arrow's file systems; the index, committed by Spark, names the bundles
 that count, so a task that runs again leaves nothing wrong behind.
 """
