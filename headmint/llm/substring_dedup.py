@@ -10,6 +10,8 @@ A count-min sketch decides which windows need exact grouping:
    windows go on, and no repeated one is ever lost, as counts are only overestimated.
 3. Windows estimated repeated are grouped exactly by a 64-bit hash, in blocks dealt by hash
    range; every occurrence in a document above the window's smallest goes back to its row.
+   A slice of texts sends a window for its smallest document only, so a passage that a third
+   of all documents share doesn't gather their number in one range.
 4. Rows and marks meet once by row key, and the words that no mark covers are kept.
 """
 
@@ -139,14 +141,22 @@ def _occurrences(size: int, width: int, ranges: int, shared):
                 if not len(at):
                     continue
                 first, h = first[at].astype(np.uint32), h[at]
-                part = ((h >> np.uint64(32)) % np.uint64(ranges)).astype(np.int32)
-                order = np.argsort(part, kind="stable")
-                first, h, part = first[order], h[order] & LOW48, part[order]
-                cut = np.searchsorted(part, np.arange(ranges + 1))
-                has = np.flatnonzero(cut[1:] > cut[:-1])
+                # of a window, only the slice's smallest document has to be compared with other
+                # slices; its other occurrences are later ones whatever is found there
+                order = np.argsort(h, kind="stable")
+                start, end = runs(h[order])
+                low = np.empty(len(h), np.int64)
+                low[order] = np.repeat(np.minimum.reduceat(ids[lo + w.row[first[order]]], start), end - start)
+                late = ids[lo + w.row[first]] > low
                 some = np.unique(w.row[first])  # rows without a repeated window aren't sent
                 rows = np.rec.fromarrays([key[lo + some], ids[lo + some], np.searchsorted(w.row, some).astype(np.uint32)], dtype=ROWS).tobytes()
-                piece = lambda a: pa.array([a[cut[r] : cut[r + 1]].tobytes() for r in has], pa.binary())
+                late_slots, first, h = first[late], first[~late], h[~late]
+                part, late_part = ((h >> np.uint64(32)) % np.uint64(ranges)).astype(np.int32), w.row[late_slots] % ranges
+                order, late_order = np.argsort(part, kind="stable"), np.argsort(late_part, kind="stable")
+                first, h, late_slots = first[order], h[order] & LOW48, late_slots[late_order]
+                cut, late_cut = np.searchsorted(part[order], np.arange(ranges + 1)), np.searchsorted(late_part[late_order], np.arange(ranges + 1))
+                has = np.flatnonzero((cut[1:] > cut[:-1]) | (late_cut[1:] > late_cut[:-1]))
+                piece = lambda a, c=cut: pa.array([a[c[r] : c[r + 1]].tobytes() for r in has], pa.binary())  # noqa: E731, B023
                 yield pa.record_batch(
                     {
                         "part": pa.array(has, pa.int32()),
@@ -154,6 +164,7 @@ def _occurrences(size: int, width: int, ranges: int, shared):
                         "low": piece((h & np.uint64(0xFFFFFFFF)).astype(np.uint32)),
                         "high": piece((h >> np.uint64(32)).astype(np.uint16)),
                         "word": piece(first),
+                        "late": piece(late_slots, late_cut),
                     }
                 )
 
@@ -161,23 +172,27 @@ def _occurrences(size: int, width: int, ranges: int, shared):
 
 
 def _later(dealt: int):
-    """Reducer of a hash range: occurrences in documents above the window's smallest, dealt out by row."""
+    """Reducer of a hash range: occurrences in documents above the window's smallest, and those
+    that their slice knew to be, dealt out by row."""
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        keys, ids, word, h = [], [], [], []
-        for rows, low, high, at in zip(*(t.column(c).to_pylist() for c in ("rows", "low", "high", "word")), strict=True):
-            rows, at = np.frombuffer(rows, ROWS), np.frombuffer(at, np.uint32)
+        keys, ids, word, h, late_keys, late_words = [], [], [], [], [], []
+        for rows, low, high, at, late in zip(*(t.column(c).to_pylist() for c in ("rows", "low", "high", "word", "late")), strict=True):
+            rows, at, late = np.frombuffer(rows, ROWS), np.frombuffer(at, np.uint32), np.frombuffer(late, np.uint32)
             r = np.searchsorted(rows["word"], at, side="right") - 1
             keys.append(rows["key"][r])
             ids.append(rows["id"][r])
             word.append(at - rows["word"][r])
             h.append(np.frombuffer(low, np.uint32).astype(np.uint64) | (np.frombuffer(high, np.uint16).astype(np.uint64) << np.uint64(32)))
+            r = np.searchsorted(rows["word"], late, side="right") - 1
+            late_keys.append(rows["key"][r])
+            late_words.append(late - rows["word"][r])
         keys, ids, word, h = map(np.concatenate, (keys, ids, word, h))
         order = np.argsort(h)
         start, end = runs(h[order])
-        low = np.minimum.reduceat(ids[order], start)
+        low = np.minimum.reduceat(ids[order], start) if len(start) else ids
         later = order[ids[order] > np.repeat(low, end - start)]
-        keys, word = keys[later], word[later]
+        keys, word = np.concatenate([keys[later], *late_keys]), np.concatenate([word[later], *late_words])
         to = keys % dealt
         order = np.lexsort((word, keys, to))
         keys, word, to = keys[order], word[order], to[order]
@@ -264,7 +279,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ranges, dealt = parts(spark, n, RANGE_BYTES), parts(spark, n, PART_BYTES)
     bits = spark.sparkContext.broadcast(merged_sketch(text.select("text"), size, width))
     keyed = text.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    found = keyed.select("row_key", "doc_id", "text").mapInArrow(_occurrences(size, width, ranges, bits), "part int, rows binary, low binary, high binary, word binary")
+    found = keyed.select("row_key", "doc_id", "text").mapInArrow(_occurrences(size, width, ranges, bits), "part int, rows binary, low binary, high binary, word binary, late binary")
     marks = found.groupBy("part").applyInArrow(_later(dealt), "part int, keys binary, counts binary, words binary")
     rows = keyed.withColumn("part", F.pmod("row_key", F.lit(dealt)).cast("int"))
     out = rows.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(_kept(size), "doc_id bigint, n_words bigint, n_removed bigint, kept string")
