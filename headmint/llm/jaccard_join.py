@@ -128,6 +128,11 @@ def _blocks(words_per: int, ranges: int, chosen=None):
                 if chosen is None:
                     m &= in_half(sh)
                 sh, idx = sh[m], at[row[m]]
+                if chosen is None:  # two sets of a slice are enough to show that a shingle is shared
+                    order = np.argsort(sh, kind="stable")
+                    begin, end = runs(sh[order])
+                    order = order[np.arange(len(order)) - np.repeat(begin, end - begin) < 2]
+                    sh, idx = sh[order], idx[order]
                 part = ((sh >> np.uint64(32)) % np.uint64(ranges)).astype(np.int32)
                 order = np.argsort(part, kind="stable")
                 sh, idx, part = sh[order] & LOW48, idx[order], part[order]
