@@ -29,8 +29,9 @@ from headmint.llm.common import parts, runs, split_words, text_bytes, text_slice
 DEPTH = 2
 MAX_CELLS = 1 << 30  # a hash row; two rows of bits are 256 MB
 SEGMENT_CELLS = 1 << 22  # counts that one reducer of the sketch holds
-FLUSH_WINDOWS = 6_000_000
-RANGE_BYTES = 32 << 20  # text whose repeated windows one reducer gets
+FLUSH_WINDOWS = 3_000_000  # whose cells a task holds
+SLICE = 4 << 20  # text handled at once
+RANGE_BYTES = 16 << 20  # text whose repeated windows one reducer gets
 PART_BYTES = 12 << 20  # text whose words one task keeps or drops
 LOW48 = np.uint64((1 << 48) - 1)
 NO_ID = np.iinfo(np.int64).max
@@ -80,7 +81,7 @@ def _sketch(size: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for b in batches:
-            for lo, hi, buf, off in text_slices(b.column(0)):
+            for lo, hi, buf, off in text_slices(b.column(0), SLICE):
                 held.append(windows(split_words(buf, off), hi - lo, size)[1])
                 if sum(map(len, held)) >= FLUSH_WINDOWS:
                     yield emit(held)
@@ -134,7 +135,7 @@ def _occurrences(size: int, width: int, ranges: int, shared):
         bits = shared.value
         for b in batches:
             key, ids = b.column(0).to_numpy(), b.column(1).cast(pa.int64()).fill_null(NO_ID).to_numpy()
-            for lo, hi, buf, off in text_slices(b.column(2)):
+            for lo, hi, buf, off in text_slices(b.column(2), SLICE):
                 w = split_words(buf, off)
                 first, h = windows(w, hi - lo, size)
                 at = estimated_repeated(h, bits, width)
@@ -250,7 +251,7 @@ def _kept(size: int):
         mkey, mword = mkey[order], mword[order]
         key = docs.column("row_key").to_numpy()
         n_words, n_removed, texts = [], [], []
-        for lo, hi, buf, off in text_slices(docs.column("text")):
+        for lo, hi, buf, off in text_slices(docs.column("text"), SLICE):
             a, b = np.searchsorted(mkey, key[lo:hi]), np.searchsorted(mkey, key[lo:hi], side="right")
             row = np.repeat(np.arange(hi - lo), b - a)
             at = np.arange(len(row)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + np.repeat(a, b - a)
