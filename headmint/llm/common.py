@@ -14,13 +14,15 @@ from headmint.sources.scratch import fresh_folder as shared_dir
 from headmint.sources.scratch import stored
 from headmint.sources.tables import table
 
-__all__ = ["Words", "hash_ranges", "lower_ascii", "mix", "parts", "runs", "shared_dir", "split_words", "stored", "table", "text_bytes", "text_slices", "windows"]
+__all__ = ["Words", "hash_ranges", "lower_ascii", "mix", "pack_gaps", "parts", "runs", "second_hash", "shared_dir", "split_words", "stored", "table", "text_bytes", "text_slices", "unpack_gaps", "windows"]
 
 SLICE_BYTES = 8 << 20  # text handled at once; a longer text makes a slice of its own
 HASH_BYTES = 1 << 20  # bytes whose running hash is held at once; a longer word is hashed alone
 
 _BASE = 0x9E3779B97F4A7C15
 _STEP = np.uint64(0xD6E8FEB86659FD93)
+_BASE_2 = 0xC2B2AE3D27D4EB4F  # of the second hash
+_STEP_2 = np.uint64(0x9FB21C651E98DF25)
 
 
 def parts(spark: SparkSession, n_bytes: int, each: int) -> int:
@@ -85,25 +87,25 @@ class Words:
     hash: np.ndarray
 
 
-_powers: list[np.ndarray] = []
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+def _power_tables(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    if base not in _powers or len(_powers[base][0]) < n:
+        up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
-        _powers[:] = [np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)]
-    return _powers[0], _powers[1]
+        _powers[base] = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+    return _powers[base]
 
 
-def hash_ranges(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def hash_ranges(buf: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = _BASE) -> np.ndarray:
     """64-bit hash of each byte range; the ranges are in order and apart."""
     out = np.zeros(len(start), np.uint64)
     a = 0
     while a < len(start):
         b = max(a + 1, int(np.searchsorted(end, start[a] + HASH_BYTES, side="right")))
         lo, hi = int(start[a]), int(end[b - 1])
-        up, down = _power_tables(max(HASH_BYTES, hi - lo) + 1)
+        up, down = _power_tables(max(HASH_BYTES, hi - lo) + 1, base)
         run = np.zeros(hi - lo + 1, np.uint64)
         np.cumsum((buf[lo:hi].astype(np.uint64) + np.uint64(1)) * up[: hi - lo], out=run[1:])
         s, e = start[a:b] - lo, end[a:b] - lo
@@ -136,3 +138,27 @@ def windows(words: Words, n_rows: int, size: int) -> tuple[np.ndarray, np.ndarra
         h = h * _STEP + words.hash[j : j + m]
     first = np.flatnonzero(words.row[size - 1 :] == words.row[:m])
     return first, mix(h[first])
+
+
+def second_hash(buf: np.ndarray, words: Words, first: np.ndarray, size: int) -> np.ndarray:
+    """32-bit hash of the windows that start at these words, from other word hashes than `windows` takes."""
+    other = hash_ranges(buf, words.start, words.end, _BASE_2)
+    h = np.zeros(len(first), np.uint64)
+    for j in range(size):
+        h = h * _STEP_2 + other[first + j]
+    return (mix(h) >> np.uint64(32)).astype(np.uint32)
+
+
+def pack_gaps(ascending: np.ndarray, kind: type = np.uint8) -> bytes:
+    """Gaps of ascending numbers: a byte (or kind) each, its highest value meaning "add it and read on"."""
+    top = np.iinfo(kind).max
+    gap = np.diff(ascending.astype(np.int64), prepend=0)
+    more = gap // top
+    out = np.full(len(gap) + int(more.sum()), top, kind)
+    out[np.cumsum(more + 1) - 1] = gap % top
+    return out.tobytes()
+
+
+def unpack_gaps(data: bytes, kind: type = np.uint8) -> np.ndarray:
+    b = np.frombuffer(data, kind)
+    return np.cumsum(b, dtype=np.int64)[b != np.iinfo(kind).max]

@@ -8,8 +8,9 @@ A count-min sketch decides which windows need exact grouping:
 2. The bits are broadcast. Their size is a function of max_cells alone (DEPTH * max_cells / 8
    bytes at most, 64 MB for 0.9 GB of text); a larger corpus has a fuller sketch, so more
    windows go on, and no repeated one is ever lost, as counts are only overestimated.
-3. Windows estimated repeated are grouped exactly by a 64-bit hash, in blocks dealt by hash
-   range; every occurrence in a document above the window's smallest goes back to its row.
+3. Windows estimated repeated are grouped by 96 bits, a 64-bit hash and 32 bits of another
+   one over other word hashes, in blocks dealt by hash range; every occurrence in a document
+   above the window's smallest goes back to its row.
    A slice of texts sends a window for its smallest document only, so a passage that a third
    of all documents share doesn't gather their number in one range.
 4. Rows and marks meet once by row key, and the words that no mark covers are kept.
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from headmint.llm.common import parts, runs, split_words, text_bytes, text_slices, windows
+from headmint.llm.common import pack_gaps, parts, runs, second_hash, split_words, text_bytes, text_slices, unpack_gaps, windows
 
 DEPTH = 2
 MAX_CELLS = 1 << 30  # a hash row; two rows of bits are 256 MB
@@ -33,7 +34,6 @@ FLUSH_WINDOWS = 3_000_000  # whose cells a task holds
 SLICE = 4 << 20  # text handled at once
 RANGE_BYTES = 16 << 20  # text whose repeated windows one reducer gets
 PART_BYTES = 12 << 20  # text whose words one task keeps or drops
-LOW48 = np.uint64((1 << 48) - 1)
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -41,20 +41,6 @@ def cells(h: np.ndarray, row: int, width: int) -> np.ndarray:
     return ((h >> np.uint64(32 * row)) & np.uint64(width - 1)).astype(np.uint32)
 
 
-def pack_gaps(sorted_cells: np.ndarray) -> bytes:
-    """Gaps of ascending numbers: a byte each, 255 meaning "add 255 and read on"."""
-    gap = np.diff(sorted_cells.astype(np.int64), prepend=0)
-    more = gap // 255
-    out = np.full(len(gap) + int(more.sum()), 255, np.uint8)
-    out[np.cumsum(more + 1) - 1] = gap % 255
-    return out.tobytes()
-
-
-def unpack_gaps(data: bytes) -> np.ndarray:
-    b = np.frombuffer(data, np.uint8)
-    return np.cumsum(b, dtype=np.int64)[b != 255]
-
-
 def _twice(c: np.ndarray) -> np.ndarray:
     """Sorted cells, each at most twice: more makes no difference to 'at least two'."""
     c = np.sort(c)
@@ -130,6 +116,14 @@ def estimated_repeated(h: np.ndarray, bits: list[np.ndarray], width: int) -> np.
 ROWS = np.dtype([("key", np.int64), ("id", np.int64), ("word", np.uint32)])
 
 
+def _same(h: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end number of each run of windows that agree in both hashes."""
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (check[1:] != check[:-1])
+    start = np.flatnonzero(new)
+    return start, np.append(start[1:], len(h))[: len(start)]
+
+
 def _occurrences(size: int, width: int, ranges: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -141,31 +135,33 @@ def _occurrences(size: int, width: int, ranges: int, shared):
                 at = estimated_repeated(h, bits, width)
                 if not len(at):
                     continue
-                first, h = first[at].astype(np.uint32), h[at]
+                first, h = first[at], h[at]
+                check = second_hash(buf, w, first, size)
                 # of a window, only the slice's smallest document has to be compared with other
                 # slices; its other occurrences are later ones whatever is found there
-                order = np.argsort(h, kind="stable")
-                start, end = runs(h[order])
+                order = np.lexsort((check, h))
+                start, end = _same(h[order], check[order])
                 low = np.empty(len(h), np.int64)
                 low[order] = np.repeat(np.minimum.reduceat(ids[lo + w.row[first[order]]], start), end - start)
                 late = ids[lo + w.row[first]] > low
                 some = np.unique(w.row[first])  # rows without a repeated window aren't sent
                 rows = np.rec.fromarrays([key[lo + some], ids[lo + some], np.searchsorted(w.row, some).astype(np.uint32)], dtype=ROWS).tobytes()
-                late_slots, first, h = first[late], first[~late], h[~late]
+                late_slots, first, h, check = first[late], first[~late], h[~late], check[~late]
                 part, late_part = ((h >> np.uint64(32)) % np.uint64(ranges)).astype(np.int32), w.row[late_slots] % ranges
                 order, late_order = np.argsort(part, kind="stable"), np.argsort(late_part, kind="stable")
-                first, h, late_slots = first[order], h[order] & LOW48, late_slots[late_order]
+                first, h, check, late_slots = first[order], h[order], check[order], late_slots[late_order]
                 cut, late_cut = np.searchsorted(part[order], np.arange(ranges + 1)), np.searchsorted(late_part[late_order], np.arange(ranges + 1))
                 has = np.flatnonzero((cut[1:] > cut[:-1]) | (late_cut[1:] > late_cut[:-1]))
-                piece = lambda a, c=cut: pa.array([a[c[r] : c[r + 1]].tobytes() for r in has], pa.binary())  # noqa: E731, B023
+                piece = lambda a: pa.array([a[cut[r] : cut[r + 1]].tobytes() for r in has], pa.binary())  # noqa: E731, B023
+                gaps = lambda a, c: pa.array([pack_gaps(a[c[r] : c[r + 1]], np.uint16) for r in has], pa.binary())  # noqa: E731, B023
                 yield pa.record_batch(
                     {
                         "part": pa.array(has, pa.int32()),
                         "rows": pa.array([rows] * len(has), pa.binary()),
-                        "low": piece((h & np.uint64(0xFFFFFFFF)).astype(np.uint32)),
-                        "high": piece((h >> np.uint64(32)).astype(np.uint16)),
-                        "word": piece(first),
-                        "late": piece(late_slots, late_cut),
+                        "hash": piece(h),
+                        "check": piece(check),
+                        "word": gaps(first, cut),
+                        "late": gaps(late_slots, late_cut),
                     }
                 )
 
@@ -177,20 +173,21 @@ def _later(dealt: int):
     that their slice knew to be, dealt out by row."""
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        keys, ids, word, h, late_keys, late_words = [], [], [], [], [], []
-        for rows, low, high, at, late in zip(*(t.column(c).to_pylist() for c in ("rows", "low", "high", "word", "late")), strict=True):
-            rows, at, late = np.frombuffer(rows, ROWS), np.frombuffer(at, np.uint32), np.frombuffer(late, np.uint32)
+        keys, ids, word, h, check, late_keys, late_words = [], [], [], [], [], [], []
+        for rows, one, other, at, late in zip(*(t.column(c).to_pylist() for c in ("rows", "hash", "check", "word", "late")), strict=True):
+            rows, at, late = np.frombuffer(rows, ROWS), unpack_gaps(at, np.uint16), unpack_gaps(late, np.uint16)
             r = np.searchsorted(rows["word"], at, side="right") - 1
             keys.append(rows["key"][r])
             ids.append(rows["id"][r])
-            word.append(at - rows["word"][r])
-            h.append(np.frombuffer(low, np.uint32).astype(np.uint64) | (np.frombuffer(high, np.uint16).astype(np.uint64) << np.uint64(32)))
+            word.append((at - rows["word"][r]).astype(np.uint32))
+            h.append(np.frombuffer(one, np.uint64))
+            check.append(np.frombuffer(other, np.uint32))
             r = np.searchsorted(rows["word"], late, side="right") - 1
             late_keys.append(rows["key"][r])
-            late_words.append(late - rows["word"][r])
-        keys, ids, word, h = map(np.concatenate, (keys, ids, word, h))
-        order = np.argsort(h)
-        start, end = runs(h[order])
+            late_words.append((late - rows["word"][r]).astype(np.uint32))
+        keys, ids, word, h, check = map(np.concatenate, (keys, ids, word, h, check))
+        order = np.lexsort((check, h))
+        start, end = _same(h[order], check[order])
         low = np.minimum.reduceat(ids[order], start) if len(start) else ids
         later = order[ids[order] > np.repeat(low, end - start)]
         keys, word = np.concatenate([keys[later], *late_keys]), np.concatenate([word[later], *late_words])
@@ -280,7 +277,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ranges, dealt = parts(spark, n, RANGE_BYTES), parts(spark, n, PART_BYTES)
     bits = spark.sparkContext.broadcast(merged_sketch(text.select("text"), size, width))
     keyed = text.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    found = keyed.select("row_key", "doc_id", "text").mapInArrow(_occurrences(size, width, ranges, bits), "part int, rows binary, low binary, high binary, word binary, late binary")
+    found = keyed.select("row_key", "doc_id", "text").mapInArrow(_occurrences(size, width, ranges, bits), "part int, rows binary, hash binary, check binary, word binary, late binary")
     marks = found.groupBy("part").applyInArrow(_later(dealt), "part int, keys binary, counts binary, words binary")
     rows = keyed.withColumn("part", F.pmod("row_key", F.lit(dealt)).cast("int"))
     out = rows.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(_kept(size), "doc_id bigint, n_words bigint, n_removed bigint, kept string")

@@ -3,7 +3,10 @@
 import hashlib
 import random
 import re
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -295,6 +298,25 @@ def test_substring_dedup_edges(spark):
     assert got == {4: False, None: True}  # a null id counts as larger than any other
 
 
+def test_windows_that_agree_in_48_bits_stay(spark):
+    """Both hashes end in d048115bc61d."""
+    d = documents(spark, [f"w{k} a b c d e f g h i j k l" for k in (33644932, 14950051)])
+    assert [r["n_removed"] for r in substring_dedup.substring_dedup(d).orderBy("doc_id").collect()] == [0, 0]
+
+
+def test_windows_that_agree_in_64_bits_stay(monkeypatch):
+    plain = substring_dedup.windows
+    monkeypatch.setattr(substring_dedup, "windows", lambda *a: (plain(*a)[0], np.full_like(plain(*a)[1], 77)))
+    texts = ["a b c", "d e f", "a b c", "x d e f"]
+    bits = SimpleNamespace(value=[np.full(1 << 13, 255, np.uint8)] * substring_dedup.DEPTH)
+    found = []
+    for k in range(0, 4, 2):  # a slice each: once within a slice, once across slices
+        b = pa.record_batch({"key": pa.array([k, k + 1]), "id": pa.array([k, k + 1]), "text": pa.array(texts[k : k + 2])})
+        found += substring_dedup._occurrences(3, 1 << 16, 1, bits)(iter([b]))
+    marks = substring_dedup._later(1)((), pa.Table.from_batches(found)).to_pylist()
+    assert [(np.frombuffer(m["keys"], np.int64).tolist(), np.frombuffer(m["words"], np.uint32).tolist()) for m in marks] == [([2, 3], [0, 1])]
+
+
 def test_gaps_round_trip():
     import numpy as np
 
