@@ -13,8 +13,10 @@ are looked at as strings.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -216,6 +218,47 @@ def plausible(kind: str, s: str) -> bool:
     return s.count("@") == 1 and 0 < s.index("@") and "." in s[s.index("@") :]
 
 
+SPAN_WORDS = 19  # of a span: each has a digit, and a card has 19 at most
+
+
+def split_run(kind: str, text: str, words: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of plausible numbers in neighbouring words of one label, which may hold several numbers.
+
+    Among the ways to cut, those that cover the most digits count; of them, those that join
+    the least across punctuation such as a comma, line ends and tabs, plus signs, opening
+    brackets and whole numbers; then the fewest and the most even spans.
+    """
+    n = len(words)
+    pure = TRIM + "."
+    whole = [trimmed(kind, text, *w) is not None for w in words]
+    soft = [0] * n
+    for k in range(1, n):
+        digits = sum("0" <= c <= "9" for c in text[words[k - 1][0] : words[k - 1][1]])
+        apart = text[words[k - 1][1] - 1] in pure or text[words[k][0]] in pure + "+"
+        soft[k] = 4 * apart + 2 * (set(text[words[k - 1][1] : words[k][0]]) != {" "}) + (whole[k - 1] and whole[k]) + 3 * (text[words[k][0]] == "(" and digits > 2)
+    best: list[tuple[tuple[int, int, int, int], int, tuple[int, int] | None]] = [((0, 0, 0, 0), 0, None)]
+    for j in range(1, n + 1):
+        top = (best[j - 1][0], j - 1, None)  # the last word is in no span
+        cost = 0
+        for i in range(j - 1, max(-1, j - 1 - SPAN_WORDS), -1):
+            if i < j - 1:
+                cost += soft[i + 1]
+            if span := trimmed(kind, text, words[i][0], words[j - 1][1]):
+                digits = sum("0" <= c <= "9" for c in text[span[0] : span[1]])
+                more = (digits, -cost, -1, -digits * digits)
+                value = tuple(a + b for a, b in zip(best[i][0], more, strict=True))
+                if value > top[0]:
+                    top = (value, i, span)
+        best.append(top)
+    out, j = [], n
+    while j:
+        _, i, span = best[j]
+        if span:
+            out.append(span)
+        j = i
+    return out[::-1]
+
+
 def _spans(field: ChainField):
     kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())])
 
@@ -232,20 +275,27 @@ def _spans(field: ChainField):
         begin = np.flatnonzero(new)
         chars = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
         texts: dict[int, str] = {}
+        starts: dict[int, list[int]] = {}  # of base spans, and how far those up to each reach
+        reach: dict[int, list[int]] = {}
         for r in np.unique(w.row[hit]).tolist():
             texts[r] = buf[off[r] : off[r + 1]].tobytes().decode()
             out[r] = [{"kind": k, "start": a, "end": b, "base": True} for k, a, b in base_spans(texts[r])]
+            at = sorted((s["start"], s["end"]) for s in out[r])
+            starts[r], reach[r] = [a for a, _ in at], list(accumulate((b for _, b in at), max))
         at = [(r, int(chars[s] - chars[off[r]]), int(chars[e] - chars[off[r]])) for r, s, e in zip(w.row[hit].tolist(), w.start[hit].tolist(), w.end[hit].tolist(), strict=True)]
         runs = [at[a:b] for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(at)], strict=True)]
         labels = field.viterbi([[shape(texts[r][a:b]) for r, a, b in run] for run in runs])
         for run, label in zip(runs, labels, strict=True):
             k = 0
+            r = run[0][0]
+            taken = [label[i] and bool(reach[r]) and (m := bisect_left(starts[r], b)) > 0 and reach[r][m - 1] > a for i, (_, a, b) in enumerate(run)]  # by a base span
             while k < len(run):
                 j = k + 1
-                while j < len(run) and label[j] == label[k] and LABELS[label[k]] in ("card", "phone"):
+                while j < len(run) and label[j] == label[k] and not taken[j] and not taken[k] and LABELS[label[k]] in ("card", "phone"):
                     j += 1
-                if label[k]:
-                    _add(out[run[k][0]], texts[run[k][0]], LABELS[label[k]], run[k][1], run[j - 1][2])
+                if label[k] and not taken[k]:
+                    for start, end in split_run(LABELS[label[k]], texts[r], [(a, b) for _, a, b in run[k:j]]):
+                        out[r].append({"kind": LABELS[label[k]], "start": start, "end": end, "base": False})
                 k = j
         for spans in out:
             spans.sort(key=lambda s: (KINDS.index(s["kind"]), s["start"], s["end"]))
@@ -259,14 +309,14 @@ def _spans(field: ChainField):
     return run
 
 
-def _add(spans: list[dict], text: str, kind: str, start: int, end: int) -> None:
+def trimmed(kind: str, text: str, start: int, end: int) -> tuple[int, int] | None:
+    """The span without punctuation at its ends, where it is plausible."""
     cut = TRIM + "." + ("" if kind == "phone" else "()+-")
     while start < end and text[start] in cut:
         start += 1
     while start < end and text[end - 1] in cut:
         end -= 1
-    if start < end and plausible(kind, text[start:end]) and not any(s["start"] < end and start < s["end"] for s in spans):
-        spans.append({"kind": kind, "start": start, "end": end, "base": False})
+    return (start, end) if start < end and plausible(kind, text[start:end]) else None
 
 
 def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", field: ChainField | None = None) -> DataFrame:

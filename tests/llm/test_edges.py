@@ -217,6 +217,30 @@ def test_pii_edges(spark):
     assert pii.pii_spans(hard(spark)).count() == 10
 
 
+@pytest.mark.parametrize(
+    ("text", "numbers"),
+    [
+        ("call 555-123-4567, 555-987-6543 now", ["555-123-4567", "555-987-6543"]),
+        ("555-123-4567\n555-987-6543\n555-111-2222", ["555-123-4567", "555-987-6543", "555-111-2222"]),
+        ("+1 555-123-4567\n555-987-6543", ["+1 555-123-4567", "555-987-6543"]),
+        ("(555) 123-4567 (555) 987-6543", ["(555) 123-4567", "(555) 987-6543"]),
+        ("1-555-123-4567\t1-555-987-6543", ["1-555-123-4567", "1-555-987-6543"]),
+        ("555-1234, 555-9876", ["555-1234", "555-9876"]),
+        ("call (555)\n123-4567 now", ["(555)\n123-4567"]),
+        ("4111 1111 1111 1111 5500 0000 0000 0004", ["4111 1111 1111 1111", "5500 0000 0000 0004"]),
+        ("4111111111111111 5500000000000004", ["4111111111111111", "5500000000000004"]),
+    ],
+)
+def test_pii_lists_of_numbers(text, numbers):
+    assert added_and_base(text) == numbers
+
+
+def added_and_base(text):
+    run = pii._spans(pii.ChainField(pii.LABELLED))
+    spans = next(run(iter([pa.record_batch({"id": pa.array([1]), "text": pa.array([text])})]))).column(1).to_pylist()[0]
+    return [text[s["start"] : s["end"]] for s in spans]
+
+
 def test_viterbi_equals_all_paths():
     from itertools import product
 
