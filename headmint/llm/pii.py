@@ -108,10 +108,27 @@ TRIM = "\"'`,;:!?*#$%&<>[]{}|~=_^\\/"
 @lru_cache(maxsize=1 << 16)
 def shape(word: str) -> str:
     """A word's shape: digits 9, letters a, runs of four and more cut to four, edges trimmed."""
-    s = re.sub(r"[0-9]", "9", re.sub(r"[^\W\d_]", "a", word.strip(TRIM)[:64].rstrip(".")))
+    s = re.sub(r"[0-9]", "9", re.sub(r"[^\W\d_]", "a", word.strip(TRIM).rstrip(".")))
     return re.sub(r"(.)\1{3,}", r"\1\1\1\1", s)
 
 
+LONG = 64  # characters; a longer word is cut around its digits and @
+CHUNK = re.compile(r"[A-Za-z0-9@.()+-]++")
+NUMBER = re.compile(r"[0-9.()+-]++")
+
+
+def pieces(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """What the field reads of a word: the word, or of a long one (prose without blanks, joined
+    fields) the parts with a digit or an @ between other letters and punctuation."""
+    if len(text[start:end].strip(TRIM)) <= LONG:
+        return [(start, end)]
+    out = []
+    for m in CHUNK.finditer(text, start, end):
+        short = m.end() - m.start() <= LONG or "@" in m[0]
+        out += [p.span() for p in ([m] if short else NUMBER.finditer(text, *m.span())) if re.search("[0-9@]", p[0])]
+    return out
+
+
 def features(shapes: list[str], k: int) -> list[str]:
     s = shapes[k]
     n = sum(c == "9" for c in s)
@@ -283,7 +300,17 @@ def _spans(field: ChainField):
             at = sorted((s["start"], s["end"]) for s in out[r])
             starts[r], reach[r] = [a for a, _ in at], list(accumulate((b for _, b in at), max))
         at = [(r, int(chars[s] - chars[off[r]]), int(chars[e] - chars[off[r]])) for r, s, e in zip(w.row[hit].tolist(), w.start[hit].tolist(), w.end[hit].tolist(), strict=True)]
-        runs = [at[a:b] for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(at)], strict=True)]
+        runs: list[list[tuple[int, int, int]]] = []
+        for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(at)], strict=True):
+            open_run = False
+            for r, start, end in at[a:b]:
+                for x, y in pieces(texts[r], start, end) if end - start > LONG else ((start, end),):
+                    if open_run and (end - start <= LONG and not long or not any(c.isalnum() for c in texts[r][runs[-1][-1][2] : x])):
+                        runs[-1].append((r, x, y))
+                    else:
+                        runs.append([(r, x, y)])
+                    open_run = True
+                long = end - start > LONG
         labels = field.viterbi([[shape(texts[r][a:b]) for r, a, b in run] for run in runs])
         for run, label in zip(runs, labels, strict=True):
             k = 0

@@ -235,6 +235,12 @@ def test_pii_lists_of_numbers(text, numbers):
     assert added_and_base(text) == numbers
 
 
+@pytest.mark.parametrize("before", ["\u7535\u8bdd" * 40, "name=Bob;city=Rome;" * 5, "x" * 70, "a;" * 50])
+def test_pii_numbers_deep_in_a_long_word(before):
+    assert added_and_base(f"{before}555-123-4567\u3002 then") == ["555-123-4567"]
+    assert added_and_base(f"{before}(555) 123-4567;{before}") == ["(555) 123-4567"]
+
+
 def added_and_base(text):
     run = pii._spans(pii.ChainField(pii.LABELLED))
     spans = next(run(iter([pa.record_batch({"id": pa.array([1]), "text": pa.array([text])})]))).column(1).to_pylist()[0]
