@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from headmint.llm.common import lower_ascii, mix, parts, runs, shared_dir, split_words, stored, text_bytes, text_slices, windows
+from headmint.llm.common import lower_ascii, mix, pack_gaps, parts, runs, shared_dir, split_words, stored, text_bytes, text_slices, unpack_gaps, windows
 from headmint.llm.components import components
 
 RANGE_BYTES = 12 << 20  # text whose shingles one reducer gets
@@ -47,7 +47,6 @@ DENSE = 4  # entries a set in the short lists, beyond which they are counted ins
 PROBE_LISTS = 24  # long lists probed at once, before candidates are dropped
 
 MAX_BITS = 1 << 27  # of the bitmap of sets: 16 MB
-LOW48 = np.uint64((1 << 48) - 1)
 
 
 def need(size: int | np.ndarray, num: int, den: int):
@@ -128,14 +127,14 @@ def _blocks(words_per: int, ranges: int, chosen=None):
                 if chosen is None:
                     m &= in_half(sh)
                 sh, idx = sh[m], at[row[m]]
+                order = np.argsort(sh, kind="stable")
                 if chosen is None:  # two sets of a slice are enough to show that a shingle is shared
-                    order = np.argsort(sh, kind="stable")
                     begin, end = runs(sh[order])
                     order = order[np.arange(len(order)) - np.repeat(begin, end - begin) < 2]
-                    sh, idx = sh[order], idx[order]
+                sh, idx = sh[order], idx[order]
                 part = ((sh >> np.uint64(32)) % np.uint64(ranges)).astype(np.int32)
                 order = np.argsort(part, kind="stable")
-                sh, idx, part = sh[order] & LOW48, idx[order], part[order]
+                sh, idx, part = sh[order], idx[order], part[order]  # ascending within a range
                 cut = np.searchsorted(part, np.arange(ranges + 1))
                 has = np.flatnonzero(cut[1:] > cut[:-1])
                 sets = np.rec.fromarrays([key[keep], size[keep].astype(np.uint32)], names="key,n").tobytes()
@@ -144,7 +143,8 @@ def _blocks(words_per: int, ranges: int, chosen=None):
                         "part": pa.array(has, pa.int32()),
                         "sets": pa.array([sets] * len(has), pa.binary()),
                         "low": pa.array([(sh[cut[r] : cut[r + 1]] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() for r in has], pa.binary()),
-                        "high": pa.array([(sh[cut[r] : cut[r + 1]] >> np.uint64(32)).astype(np.uint16).tobytes() for r in has], pa.binary()),
+                        "mid": pa.array([(sh[cut[r] : cut[r + 1]] >> np.uint64(32) & np.uint64(0xFFFF)).astype(np.uint16).tobytes() for r in has], pa.binary()),
+                        "top": pa.array([pack_gaps(sh[cut[r] : cut[r + 1]] >> np.uint64(48)) for r in has], pa.binary()),
                         "idx": pa.array([idx[cut[r] : cut[r + 1]].tobytes() for r in has], pa.binary()),
                     }
                 )
@@ -153,7 +153,7 @@ def _blocks(words_per: int, ranges: int, chosen=None):
 
 
 SETS = np.dtype([("key", np.uint64), ("n", np.uint32)])
-BLOCK_SCHEMA = "part int, sets binary, low binary, high binary, idx binary"
+BLOCK_SCHEMA = "part int, sets binary, low binary, mid binary, top binary, idx binary"
 ALONE_SCHEMA = "part int, key binary, n binary, alone binary"
 SHARED_SCHEMA = "part int, key binary, n binary, shingle binary, df binary"
 SET_SCHEMA = "set_key bigint, n int, shingles binary, prefix binary"
@@ -162,11 +162,12 @@ SET_SCHEMA = "set_key bigint, n int, shingles binary, prefix binary"
 def _range_rows(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Set keys, set sizes and shingles of a hash range's blocks."""
     keys, ns, sh = [], [], []
-    for sets, low, high, idx in zip(*(t.column(c).to_pylist() for c in ("sets", "low", "high", "idx")), strict=True):
+    for sets, low, mid, top, idx in zip(*(t.column(c).to_pylist() for c in ("sets", "low", "mid", "top", "idx")), strict=True):
         s = np.frombuffer(sets, SETS)[np.frombuffer(idx, np.uint16)]
         keys.append(s["key"])
         ns.append(s["n"])
-        sh.append(np.frombuffer(low, np.uint32).astype(np.uint64) | (np.frombuffer(high, np.uint16).astype(np.uint64) << np.uint64(32)))
+        high = np.frombuffer(mid, np.uint16).astype(np.uint64) | (unpack_gaps(top).astype(np.uint64) << np.uint64(16))
+        sh.append(np.frombuffer(low, np.uint32).astype(np.uint64) | (high << np.uint64(32)))
     return np.concatenate(keys), np.concatenate(ns), np.concatenate(sh)
 
 
@@ -220,8 +221,7 @@ def _leaving(num: int, den: int):
 def _shared(ranges: int):
     """Reducer of a hash range: shingles of two or more distinct sets, dealt out by set."""
 
-    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        part = key[0].as_py()
+    def run(t: pa.Table) -> pa.Table:
         keys, ns, sh = _range_rows(t)
         order = np.argsort(sh)
         s = sh[order]
@@ -239,7 +239,6 @@ def _shared(ranges: int):
         df = df[inv]
         m = df > 1
         keys, ns, sh, df = keys[m], ns[m], sh[m], df[m]
-        sh = mix(sh ^ (np.uint64(part) << np.uint64(48)))
         return _dealt((keys % np.uint64(ranges)).astype(np.int32), ranges, {"key": keys, "n": ns, "shingle": sh, "df": df.astype(np.uint32)})
 
     return run

@@ -44,6 +44,12 @@ def test_jaccard_edges(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted([0, 1, 2, 3, 5, 6, None], key=repr) and set(kept.columns) >= set(CLASH)
 
 
+def test_shingles_that_agree_in_48_bits_are_not_shared(spark):
+    """The hashes are 2e5f8b9529164290 and 17538b9529164290."""
+    got = jaccard_join.ngram_jaccard_join(documents(spark, ["w15107165", "w24561195"]))
+    assert [r["component_id"] for r in got.orderBy("doc_id").collect()] == [0, 1]
+
+
 def sets_of(texts):
     out = []
     for t in texts:
