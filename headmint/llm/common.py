@@ -14,15 +14,14 @@ from headmint.sources.scratch import fresh_folder as shared_dir
 from headmint.sources.scratch import stored
 from headmint.sources.tables import table
 
-__all__ = ["Words", "hash_ranges", "lower_ascii", "mix", "pack_gaps", "parts", "runs", "second_hash", "shared_dir", "split_words", "stored", "table", "text_bytes", "text_slices", "unpack_gaps", "windows"]
+__all__ = ["Words", "ascending", "dealt_ascending", "hash_ranges", "lower_ascii", "mix", "pack_gaps", "pack_varints", "parts", "runs", "second_hash", "shared_dir", "split_words", "stored", "table", "text_bytes", "text_slices", "unpack_gaps", "unpack_varints", "windows"]
 
 SLICE_BYTES = 8 << 20  # text handled at once; a longer text makes a slice of its own
 HASH_BYTES = 1 << 20  # bytes whose running hash is held at once; a longer word is hashed alone
 
 _BASE = 0x9E3779B97F4A7C15
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-_BASE_2 = 0xC2B2AE3D27D4EB4F  # of the second hash
-_STEP_2 = np.uint64(0x9FB21C651E98DF25)
+_STEP_2 = np.uint64(0x9FB21C651E98DF25)  # of the second hash
 
 
 def parts(spark: SparkSession, n_bytes: int, each: int) -> int:
@@ -140,13 +139,93 @@ def windows(words: Words, n_rows: int, size: int) -> tuple[np.ndarray, np.ndarra
     return first, mix(h[first])
 
 
+PRIME = (1 << 31) - 1
+_FIELD_BASES = (1_103_515_245, 1_357_246_801)
+
+
+def _field_powers(n: int, base: int) -> np.ndarray:
+    """base ** 0 ... base ** (n - 1) modulo PRIME."""
+    known = _fields.get(base)
+    if known is None or len(known) < n:
+        out = np.ones(1, np.uint64)
+        while len(out) < n:
+            out = np.concatenate([out, out * np.uint64(pow(base, len(out), PRIME)) % np.uint64(PRIME)])
+        _fields[base] = known = out
+    return known
+
+
+_fields: dict[int, np.ndarray] = {}
+
+
+def field_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """62-bit hash of each byte range: two polynomials over a prime field, unlike those of hash_ranges."""
+    out = np.zeros(len(start), np.uint64)
+    prime, shift = np.uint64(PRIME), np.uint64(31)
+    a = 0
+    while a < len(start):
+        b = max(a + 1, int(np.searchsorted(end, start[a] + HASH_BYTES, side="right")))
+        lo, hi = int(start[a]), int(end[b - 1])
+        s, e, x = start[a:b] - lo, end[a:b] - lo, buf[lo:hi].astype(np.uint64) + np.uint64(1)
+        for base in _FIELD_BASES:
+            n = max(HASH_BYTES, hi - lo) + 1
+            up, down = _field_powers(n, base), _field_powers(n, pow(base, -1, PRIME))
+            run = np.zeros(hi - lo + 1, np.uint64)  # of numbers below 2 ** 31: exact up to 2 ** 33 bytes
+            np.cumsum(x * up[: hi - lo] % prime, out=run[1:])
+            h = (run[e] - run[s]) % prime * down[s] % prime
+            out[a:b] = (out[a:b] << shift) | ((h + (e - s).astype(np.uint64)) % prime)
+        a = b
+    return out
+
+
 def second_hash(buf: np.ndarray, words: Words, first: np.ndarray, size: int) -> np.ndarray:
-    """32-bit hash of the windows that start at these words, from other word hashes than `windows` takes."""
-    other = hash_ranges(buf, words.start, words.end, _BASE_2)
+    """64-bit hash of the windows that start at these words, from other word hashes than `windows` takes."""
+    other = field_hashes(buf, words.start, words.end)
     h = np.zeros(len(first), np.uint64)
     for j in range(size):
         h = h * _STEP_2 + other[first + j]
-    return (mix(h) >> np.uint64(32)).astype(np.uint32)
+    return mix(h)
+
+
+def pack_varints(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unsigned numbers in groups of seven bits, the eighth meaning "more"; and where each ends."""
+    v = v.astype(np.uint64)
+    n = np.ones(len(v), np.int64)
+    for k in range(1, 10):
+        more = v >= np.uint64(1 << 7 * k)
+        if not more.any():
+            break
+        n += more
+    ends = np.cumsum(n)
+    out = np.zeros(int(ends[-1]) if len(v) else 0, np.uint8)
+    for k in range(int(n.max(initial=0))):
+        m = n > k
+        out[ends[m] - n[m] + k] = (v[m] >> np.uint64(7 * k)).astype(np.uint8) & 0x7F | ((n[m] > k + 1).astype(np.uint8) << 7)
+    return out, ends
+
+
+def unpack_varints(data: bytes) -> np.ndarray:
+    b = np.frombuffer(data, np.uint8)
+    if not len(b):
+        return np.zeros(0, np.uint64)
+    last = np.flatnonzero(b < 128)
+    start = np.concatenate([[0], last[:-1] + 1])
+    shift = (np.arange(len(b)) - np.repeat(start, last + 1 - start)) * 7
+    return np.add.reduceat((b & 0x7F).astype(np.uint64) << shift.astype(np.uint64), start)
+
+
+def dealt_ascending(values: np.ndarray, cut: np.ndarray, base: int = 0) -> list[bytes]:
+    """Each piece cut[r]:cut[r + 1] of the values, ascending from base on within a piece, as gaps."""
+    gap = np.diff(values, prepend=values[:1])
+    starts = cut[:-1][cut[:-1] < cut[1:]]
+    gap[starts] = values[starts] - base
+    data, ends = pack_varints(gap.view(np.uint64) if gap.dtype == np.int64 else gap)
+    at = np.concatenate([[0], ends])[cut]
+    return [data[x:y].tobytes() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def ascending(data: bytes, base: int = 0) -> np.ndarray:
+    """What dealt_ascending wrote, as signed numbers."""
+    return (np.cumsum(unpack_varints(data), dtype=np.uint64) + np.uint64(base & (1 << 64) - 1)).view(np.int64)
 
 
 def pack_gaps(ascending: np.ndarray, kind: type = np.uint8) -> bytes:

@@ -8,12 +8,14 @@ A count-min sketch decides which windows need exact grouping:
 2. The bits are broadcast. Their size is a function of max_cells alone (DEPTH * max_cells / 8
    bytes at most, 64 MB for 0.9 GB of text); a larger corpus has a fuller sketch, so more
    windows go on, and no repeated one is ever lost, as counts are only overestimated.
-3. Windows estimated repeated are grouped by 96 bits, a 64-bit hash and 32 bits of another
-   one over other word hashes, in blocks dealt by hash range; every occurrence in a document
-   above the window's smallest goes back to its row.
-   A slice of texts sends a window for its smallest document only, so a passage that a third
-   of all documents share doesn't gather their number in one range.
-4. Rows and marks meet once by row key, and the words that no mark covers are kept.
+3. Documents are dealt once into groups of about PART_BYTES, each in order of id; that
+   exchange serves both this step and the last. A group sends its windows estimated repeated
+   to hash ranges, where they are grouped by 126 bits: a 64-bit polynomial hash modulo 2 ** 64
+   and 62 bits of two polynomials over a prime field. What a window costs on the way (16 bytes
+   of hashes, its place in the group and the gap to the last id) doesn't depend on how many
+   ranges there are. A group sends a window for its smallest document only, so a passage that
+   a third of all documents share doesn't gather their number in one range.
+4. Places to remove go back to the group, which keeps the words that no window covers.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from headmint.llm.common import pack_gaps, parts, runs, second_hash, split_words, text_bytes, text_slices, unpack_gaps, windows
+from headmint.llm.common import ascending, dealt_ascending, pack_gaps, parts, second_hash, split_words, text_bytes, text_slices, unpack_gaps, windows
 
 DEPTH = 2
 MAX_CELLS = 1 << 30  # a hash row; two rows of bits are 256 MB
@@ -33,7 +35,7 @@ SEGMENT_CELLS = 1 << 22  # counts that one reducer of the sketch holds
 FLUSH_WINDOWS = 3_000_000  # whose cells a task holds
 SLICE = 4 << 20  # text handled at once
 RANGE_BYTES = 16 << 20  # text whose repeated windows one reducer gets
-PART_BYTES = 12 << 20  # text whose words one task keeps or drops
+PART_BYTES = 12 << 20  # text of a group
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -113,9 +115,6 @@ def estimated_repeated(h: np.ndarray, bits: list[np.ndarray], width: int) -> np.
     return at
 
 
-ROWS = np.dtype([("key", np.int64), ("id", np.int64), ("word", np.uint32)])
-
-
 def _same(h: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and end number of each run of windows that agree in both hashes."""
     new = np.ones(len(h), bool)
@@ -124,101 +123,93 @@ def _same(h: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.append(start[1:], len(h))[: len(start)]
 
 
-def _occurrences(size: int, width: int, ranges: int, shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        for b in batches:
-            key, ids = b.column(0).to_numpy(), b.column(1).cast(pa.int64()).fill_null(NO_ID).to_numpy()
-            for lo, hi, buf, off in text_slices(b.column(2), SLICE):
-                w = split_words(buf, off)
-                first, h = windows(w, hi - lo, size)
-                at = estimated_repeated(h, bits, width)
-                if not len(at):
-                    continue
-                first, h = first[at], h[at]
-                check = second_hash(buf, w, first, size)
-                # of a window, only the slice's smallest document has to be compared with other
-                # slices; its other occurrences are later ones whatever is found there
-                order = np.lexsort((check, h))
-                start, end = _same(h[order], check[order])
-                low = np.empty(len(h), np.int64)
-                low[order] = np.repeat(np.minimum.reduceat(ids[lo + w.row[first[order]]], start), end - start)
-                late = ids[lo + w.row[first]] > low
-                some = np.unique(w.row[first])  # rows without a repeated window aren't sent
-                rows = np.rec.fromarrays([key[lo + some], ids[lo + some], np.searchsorted(w.row, some).astype(np.uint32)], dtype=ROWS).tobytes()
-                late_slots, first, h, check = first[late], first[~late], h[~late], check[~late]
-                part, late_part = ((h >> np.uint64(32)) % np.uint64(ranges)).astype(np.int32), w.row[late_slots] % ranges
-                order, late_order = np.argsort(part, kind="stable"), np.argsort(late_part, kind="stable")
-                first, h, check, late_slots = first[order], h[order], check[order], late_slots[late_order]
-                cut, late_cut = np.searchsorted(part[order], np.arange(ranges + 1)), np.searchsorted(late_part[late_order], np.arange(ranges + 1))
-                has = np.flatnonzero((cut[1:] > cut[:-1]) | (late_cut[1:] > late_cut[:-1]))
-                piece = lambda a: pa.array([a[cut[r] : cut[r + 1]].tobytes() for r in has], pa.binary())  # noqa: E731, B023
-                gaps = lambda a, c: pa.array([pack_gaps(a[c[r] : c[r + 1]], np.uint16) for r in has], pa.binary())  # noqa: E731, B023
-                yield pa.record_batch(
-                    {
-                        "part": pa.array(has, pa.int32()),
-                        "rows": pa.array([rows] * len(has), pa.binary()),
-                        "hash": piece(h),
-                        "check": piece(check),
-                        "word": gaps(first, cut),
-                        "late": gaps(late_slots, late_cut),
-                    }
-                )
-
-    return run
+def _in_order(t: pa.Table) -> pa.Table:
+    """A group by id, nulls last: the same order whenever it is read. Only rows that are the same in all can change places."""
+    return t.sort_by([("doc_id", "ascending"), ("text", "ascending")])
 
 
-def _later(dealt: int):
-    """Reducer of a hash range: occurrences in documents above the window's smallest, and those
-    that their slice knew to be, dealt out by row."""
+def _occurrences(size: int, width: int, ranges: int, shared):
+    """Windows estimated repeated of a group of documents, dealt out by hash range."""
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        keys, ids, word, h, check, late_keys, late_words = [], [], [], [], [], [], []
-        for rows, one, other, at, late in zip(*(t.column(c).to_pylist() for c in ("rows", "hash", "check", "word", "late")), strict=True):
-            rows, at, late = np.frombuffer(rows, ROWS), unpack_gaps(at, np.uint16), unpack_gaps(late, np.uint16)
-            r = np.searchsorted(rows["word"], at, side="right") - 1
-            keys.append(rows["key"][r])
-            ids.append(rows["id"][r])
-            word.append((at - rows["word"][r]).astype(np.uint32))
-            h.append(np.frombuffer(one, np.uint64))
-            check.append(np.frombuffer(other, np.uint32))
-            r = np.searchsorted(rows["word"], late, side="right") - 1
-            late_keys.append(rows["key"][r])
-            late_words.append((late - rows["word"][r]).astype(np.uint32))
-        keys, ids, word, h, check = map(np.concatenate, (keys, ids, word, h, check))
+        bits, part = shared.value, key[0].as_py()
+        t = _in_order(t)
+        ids = t.column("doc_id").cast(pa.int64()).fill_null(NO_ID).to_numpy()
+        first, h, check, owner, n = [], [], [], [], 0
+        for lo, hi, buf, off in text_slices(t.column("text"), SLICE):
+            w = split_words(buf, off)
+            at, one = windows(w, hi - lo, size)
+            m = estimated_repeated(one, bits, width)
+            if len(m):
+                first.append(n + at[m])
+                h.append(one[m])
+                check.append(second_hash(buf, w, at[m], size))
+                owner.append(ids[lo + w.row[at[m]]])
+            n += len(w.row)
+        if not first:
+            return pa.table({c: pa.array([], k) for c, k in FOUND})
+        first, h, check, owner = map(np.concatenate, (first, h, check, owner))
+        # of a window, only the group's smallest document has to be compared with other groups;
+        # its other occurrences are later ones whatever is found there
         order = np.lexsort((check, h))
         start, end = _same(h[order], check[order])
-        low = np.minimum.reduceat(ids[order], start) if len(start) else ids
-        later = order[ids[order] > np.repeat(low, end - start)]
-        keys, word = np.concatenate([keys[later], *late_keys]), np.concatenate([word[later], *late_words])
-        to = keys % dealt
-        order = np.lexsort((word, keys, to))
-        keys, word, to = keys[order], word[order], to[order]
-        one, end = runs(keys)
-        n = (end - one).astype(np.uint32)
-        cut = np.searchsorted(to[one], np.arange(dealt + 1))
-        ends = np.append(one, len(keys))[cut]
-        has = np.flatnonzero(cut[1:] > cut[:-1])
-        return pa.table(
-            {
-                "part": pa.array(has, pa.int32()),
-                "keys": pa.array([keys[one[cut[r] : cut[r + 1]]].tobytes() for r in has], pa.binary()),
-                "counts": pa.array([n[cut[r] : cut[r + 1]].tobytes() for r in has], pa.binary()),
-                "words": pa.array([word[ends[r] : ends[r + 1]].tobytes() for r in has], pa.binary()),
-            }
-        )
+        low = np.empty(len(h), np.int64)
+        low[order] = np.repeat(owner[order[start]], end - start)  # in a run, places ascend, so do ids
+        late = owner > low
+        slots, first, h, check, owner = first[late], first[~late], h[~late], check[~late], owner[~late]
+        to = ((h >> np.uint64(32)) % np.uint64(ranges)).astype(np.int32)
+        order = np.argsort(to, kind="stable")
+        first, h, check, owner = first[order], h[order], check[order], owner[order]
+        cut = np.searchsorted(to[order], np.arange(ranges + 1))
+        base = int(owner.min())
+        known = [b""] * ranges
+        known[part % ranges] = dealt_ascending(slots, np.array([0, len(slots)]))[0]
+        places, owners = dealt_ascending(first, cut), dealt_ascending(owner.view(np.uint64) - np.uint64(base & (1 << 64) - 1), cut)
+        has = [r for r in range(ranges) if cut[r + 1] > cut[r] or known[r]]
+        piece = lambda a: [a[cut[r] : cut[r + 1]].tobytes() for r in has]
+        columns = (has, [part] * len(has), [base] * len(has), piece(h), piece(check), [owners[r] for r in has], [places[r] for r in has], [known[r] for r in has])
+        return pa.table({c: pa.array(x, k) for (c, k), x in zip(FOUND, columns, strict=True)})
 
     return run
 
 
-def keep_words(buf: np.ndarray, off: np.ndarray, marks: tuple[np.ndarray, np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Of each row of a slice: words, words removed, kept text. marks: (row, first word in it) of windows."""
+FOUND = [("range", pa.int32()), ("part", pa.int32()), ("base", pa.int64()), ("hash", pa.binary()), ("check", pa.binary()), ("ids", pa.binary()), ("places", pa.binary()), ("known", pa.binary())]
+FOUND_SCHEMA = "range int, part int, base bigint, hash binary, check binary, ids binary, places binary, known binary"
+MARK_SCHEMA = "part int, places binary"
+
+
+def _later(t: pa.Table) -> pa.Table:
+    """Reducer of a hash range: places of occurrences in documents above the window's smallest, and
+    of those that their group knew to be, for each group."""
+    parts, ids, places, h, check = [], [], [], [], []
+    out: dict[int, list[np.ndarray]] = {}
+    for part, base, one, other, owners, at, known in zip(*(t.column(c).to_pylist() for c in ("part", "base", "hash", "check", "ids", "places", "known")), strict=True):
+        h.append(np.frombuffer(one, np.uint64))
+        check.append(np.frombuffer(other, np.uint64))
+        ids.append(ascending(owners, base))
+        places.append(ascending(at))
+        parts.append(np.full(len(h[-1]), part, np.int32))
+        out.setdefault(part, []).append(ascending(known))
+    h, check, ids, places, parts = map(np.concatenate, (h, check, ids, places, parts))
+    order = np.lexsort((check, h))
+    start, end = _same(h[order], check[order])
+    low = np.minimum.reduceat(ids[order], start) if len(start) else ids
+    later = order[ids[order] > np.repeat(low, end - start)]
+    for part in np.unique(parts[later]).tolist():
+        out[part].append(places[later[parts[later] == part]])
+    ready = {p: np.sort(np.concatenate(x)) for p, x in out.items()}
+    ready = {p: x for p, x in ready.items() if len(x)}
+    return pa.table({"part": pa.array(list(ready), pa.int32()), "places": pa.array([dealt_ascending(x, np.array([0, len(x)]))[0] for x in ready.values()], pa.binary())})
+
+
+def keep_words(buf: np.ndarray, off: np.ndarray, marks: np.ndarray, before: int, size: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of each row of a slice: words, words removed, kept text. marks: places of windows, ascending;
+    before: words of the group before the slice."""
     n = len(off) - 1
     w = split_words(buf, off)
     count = np.bincount(w.row, minlength=n)
-    base = np.cumsum(count) - count
+    at = marks[slice(*np.searchsorted(marks, [before, before + len(w.row)]))] - before
     edge = np.zeros(len(w.row) + 1, np.int32)
-    at = base[marks[0]] + marks[1]
     np.add.at(edge, at, 1)
     np.add.at(edge, at + size, -1)
     keep = np.cumsum(edge[:-1]) == 0
@@ -241,18 +232,12 @@ def keep_words(buf: np.ndarray, off: np.ndarray, marks: tuple[np.ndarray, np.nda
 
 def _kept(size: int):
     def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
-        docs = docs.combine_chunks()
-        join = lambda c, kind: np.frombuffer(b"".join(marks.column(c).to_pylist()), kind)
-        mkey, mword = np.repeat(join("keys", np.int64), join("counts", np.uint32)), join("words", np.uint32).astype(np.int64)
-        order = np.argsort(mkey, kind="stable")
-        mkey, mword = mkey[order], mword[order]
-        key = docs.column("row_key").to_numpy()
-        n_words, n_removed, texts = [], [], []
-        for lo, hi, buf, off in text_slices(docs.column("text"), SLICE):
-            a, b = np.searchsorted(mkey, key[lo:hi]), np.searchsorted(mkey, key[lo:hi], side="right")
-            row = np.repeat(np.arange(hi - lo), b - a)
-            at = np.arange(len(row)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + np.repeat(a, b - a)
-            n, gone, text = keep_words(buf, off, (row, mword[at]), size)
+        docs = _in_order(docs)
+        places = np.sort(np.concatenate([np.zeros(0, np.int64), *(ascending(x) for x in marks.column("places").to_pylist())]))
+        n_words, n_removed, texts, before = [], [], [], 0
+        for _, _, buf, off in text_slices(docs.column("text"), SLICE):
+            n, gone, text = keep_words(buf, off, places, before, size)
+            before += int(n.sum())
             n_words.append(n)
             n_removed.append(gone)
             texts.append(text)
@@ -276,9 +261,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     width = 1 << min(max(16, int(n / 6).bit_length()), int(max_cells).bit_length() - 1)
     ranges, dealt = parts(spark, n, RANGE_BYTES), parts(spark, n, PART_BYTES)
     bits = spark.sparkContext.broadcast(merged_sketch(text.select("text"), size, width))
-    keyed = text.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    found = keyed.select("row_key", "doc_id", "text").mapInArrow(_occurrences(size, width, ranges, bits), "part int, rows binary, hash binary, check binary, word binary, late binary")
-    marks = found.groupBy("part").applyInArrow(_later(dealt), "part int, keys binary, counts binary, words binary")
-    rows = keyed.withColumn("part", F.pmod("row_key", F.lit(dealt)).cast("int"))
+    rows = text.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(dealt)).cast("int"))
+    found = rows.groupBy("part").applyInArrow(_occurrences(size, width, ranges, bits), FOUND_SCHEMA)
+    marks = found.groupBy("range").applyInArrow(_later, MARK_SCHEMA)
     out = rows.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(_kept(size), "doc_id bigint, n_words bigint, n_removed bigint, kept string")
     return out.withColumnRenamed("doc_id", id_col)
