@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -77,7 +78,7 @@ def _settled(edges: DataFrame) -> bool:
     return ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter("down > 1 OR down + up > 1").isEmpty()
 
 
-def components(edges: DataFrame, folder: str, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, folder: str) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of edges(u, v).
 
     Nulls and loops are dropped. Each round is written to the shared folder, so lineage
@@ -85,10 +86,8 @@ def components(edges: DataFrame, folder: str, max_rounds: int = 60) -> DataFrame
     never gathered: only minima are taken, and tasks contract bounded lists of edges.
     """
     e = stored(contracted(edges.filter("u <> v")).distinct(), f"{folder}/0")
-    for k in range(1, max_rounds + 1):
+    for k in count(1):
         if _settled(e):
             break
         e = stored(contracted(_small_star(_large_star(e))).distinct(), f"{folder}/{k}")
-    else:
-        raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

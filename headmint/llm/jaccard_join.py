@@ -1,27 +1,30 @@
 """N-gram Jaccard join: which documents reach a Jaccard similarity of their shingle sets.
 
-The join is exact up to 64-bit hashes of shingles and sets. It runs in four steps, each
-of which moves numbers only, in blocks:
-
-1. Unshared shingles. A set that links to another shares ceil(threshold * size) shingles
-   with it, so a set with more unshared ones than the rest leaves. Every text slice sends
-   the distinct shingles of half the hash space, cut by hash range, to the reducer of the
-   range, which counts for each set those that no other distinct set holds. Half is enough
-   to see nearly all sets leave.
-2. Shared shingles. What stays is marked in a bitmap of bounded size (a set that it lets
-   through by mistake costs work, not truth) and sends all its shingles. The ranges give
-   back the shared ones with their document frequency. By rising frequency, the first
+The join is exact up to hashes: texts are told apart by 128 bits, shingles by 64, so that only
+a collision among the shingles of the two sets compared could change a link. Four steps, each
+of which moves numbers in blocks:
+
+1. Distinct texts are dealt once, by hash, to groups of about GROUP_BYTES. Copies of a text are
+   dropped in the task that reads them and where they meet, so they don't gather.
+2. Shared shingles. A group sends its distinct shingles, cut by hash range, with the number of
+   its sets that hold each; nothing else, so a shingle costs the same however many ranges there
+   are, and one that all sets share arrives once a group. The range answers in the same order
+   with document frequencies. A set that links to another shares ceil(threshold * size)
+   shingles with it, so one with fewer shared shingles leaves. By rising frequency, the first
    size - ceil(threshold * size) + 1 shingles of a set form its prefix, and sets that link
    have a prefix shingle in common.
 3. Neighbourhoods. Sets of a prefix shingle's list are linked to the first of their size
    class, and classes next to each other by their firsts (a list of n gives fewer than 2 n
    edges, not n * n pairs, and no list is gathered); connected components hold all links.
-4. T-occurrence search (DivideSkip) in each neighbourhood over its inverted lists: the
-   longest lists are set aside, the short ones are heap-merged, sets seen often enough are
-   probed for in the long lists by binary search. Sets that are already in one component
-   are not compared again, so thousands of near copies cost one comparison each.
-   A neighbourhood of any size is cut into blocks of bounded size; then only sets outside
-   its largest component are searched for in all blocks.
+4. T-occurrence search (DivideSkip) over the inverted lists of a neighbourhood: the longest
+   lists are set aside, the short ones are heap-merged, sets seen often enough are probed for
+   in the long lists by binary search. Every set that no earlier search found is searched
+   for, then those outside the largest component; two sets that are in one component already
+   need no comparison, so thousands of near copies cost few searches.
+   A neighbourhood of more than BLOCK_SETS sets is cut into blocks, one task each. One set for
+   each component of a block goes on to meet those of other blocks, until that joins no more;
+   then sets outside the largest component search the other blocks that hold one of their
+   prefix shingles.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import count, groupby
 
 import numpy as np
 import pandas as pd
@@ -37,16 +40,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from headmint.llm.common import lower_ascii, mix, pack_gaps, parts, runs, shared_dir, split_words, stored, text_bytes, text_slices, unpack_gaps, windows
+from headmint.llm.common import lower_ascii, mix, pack_varints, parts, runs, shared_dir, split_words, stored, text_slices, unpack_varints, windows
 from headmint.llm.components import components
 
+GROUP_BYTES = 12 << 20  # distinct text of a group
 RANGE_BYTES = 12 << 20  # text whose shingles one reducer gets
-BLOCK_SHINGLES = 4_000_000  # shingles of a block of a neighbourhood
+BLOCK_SETS = 256  # sets of a block of a neighbourhood
+BLOCK_SHINGLES = 4_000_000  # and their shingles
 PROBE_WEIGHT = 0.004  # DivideSkip: what a probe costs against a step of the merge
-DENSE = 4  # entries a set in the short lists, beyond which they are counted instead of merged
 PROBE_LISTS = 24  # long lists probed at once, before candidates are dropped
-
-MAX_BITS = 1 << 27  # of the bitmap of sets: 16 MB
+SEEN_TEXTS = 1_000_000  # hashes of texts by which a task knows copies, before it starts anew
+NODE_BITS = 28  # of a set's number within its group
 
 
 def need(size: int | np.ndarray, num: int, den: int):
@@ -61,8 +65,8 @@ def linked(common: int, a: int, b: int, num: int, den: int) -> bool:
 # ------------------------------------------------------------------ shingles
 
 
-def slice_sets(buf: np.ndarray, off: np.ndarray, words_per: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, shingle) sorted and distinct, then of each row its set size and 64-bit set hash."""
+def slice_sets(buf: np.ndarray, off: np.ndarray, words_per: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, shingle) sorted and distinct, and of each row its set size."""
     n = len(off) - 1
     w = split_words(lower_ascii(buf), off)
     first, sh = windows(w, n, words_per)
@@ -78,12 +82,7 @@ def slice_sets(buf: np.ndarray, off: np.ndarray, words_per: int) -> tuple[np.nda
     new = np.ones(len(sh), bool)
     new[1:] = (sh[1:] != sh[:-1]) | (row[1:] != row[:-1])
     row, sh = row[new], sh[new]
-    size = np.bincount(row, minlength=n)
-    total = np.zeros(len(sh) + 1, np.uint64)
-    np.cumsum(mix(sh ^ np.uint64(0xA5A5A5A5A5A5A5A5)), out=total[1:])
-    ends = np.cumsum(size)
-    key = mix(total[ends] - total[ends - size] + size.astype(np.uint64))
-    return row, sh, size, key
+    return row, sh, np.bincount(row, minlength=n)
 
 
 def _fold(h: np.ndarray) -> np.uint64:
@@ -93,180 +92,120 @@ def _fold(h: np.ndarray) -> np.uint64:
     return np.uint64(out)
 
 
-def _sets(words_per: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo, hi, buf, off in text_slices(b.column(1)):
-                _, _, size, key = slice_sets(buf, off, words_per)
-                yield pa.record_batch({"doc_id": b.column(0).slice(lo, hi - lo), "n_shingles": pa.array(size, pa.int64()), "set_key": pa.array(key.view(np.int64))})
-
-    return run
-
-
-def in_half(sh: np.ndarray) -> np.ndarray:
-    return sh < np.uint64(1 << 63)
-
-
-def _blocks(words_per: int, ranges: int, chosen=None):
-    """Blocks of shingles by hash range: the half of all sets, or all of the chosen sets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for _, _, buf, off in text_slices(b.column(0)):
-                row, sh, size, key = slice_sets(buf, off, words_per)
-                _, one = np.unique(key, return_index=True)  # equal sets of a slice are sent once
-                keep = np.zeros(len(key), bool)
-                keep[one] = True
-                keep &= size > 0
-                if chosen is not None:
-                    bits = chosen.value
-                    at = (key & np.uint64(8 * len(bits) - 1)).astype(np.int64)
-                    keep &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-                at = (np.cumsum(keep) - 1).astype(np.uint16)
-                m = keep[row]
-                if chosen is None:
-                    m &= in_half(sh)
-                sh, idx = sh[m], at[row[m]]
-                order = np.argsort(sh, kind="stable")
-                if chosen is None:  # two sets of a slice are enough to show that a shingle is shared
-                    begin, end = runs(sh[order])
-                    order = order[np.arange(len(order)) - np.repeat(begin, end - begin) < 2]
-                sh, idx = sh[order], idx[order]
-                part = ((sh >> np.uint64(32)) % np.uint64(ranges)).astype(np.int32)
-                order = np.argsort(part, kind="stable")
-                sh, idx, part = sh[order], idx[order], part[order]  # ascending within a range
-                cut = np.searchsorted(part, np.arange(ranges + 1))
-                has = np.flatnonzero(cut[1:] > cut[:-1])
-                sets = np.rec.fromarrays([key[keep], size[keep].astype(np.uint32)], names="key,n").tobytes()
-                yield pa.record_batch(
-                    {
-                        "part": pa.array(has, pa.int32()),
-                        "sets": pa.array([sets] * len(has), pa.binary()),
-                        "low": pa.array([(sh[cut[r] : cut[r + 1]] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() for r in has], pa.binary()),
-                        "mid": pa.array([(sh[cut[r] : cut[r + 1]] >> np.uint64(32) & np.uint64(0xFFFF)).astype(np.uint16).tobytes() for r in has], pa.binary()),
-                        "top": pa.array([pack_gaps(sh[cut[r] : cut[r + 1]] >> np.uint64(48)) for r in has], pa.binary()),
-                        "idx": pa.array([idx[cut[r] : cut[r + 1]].tobytes() for r in has], pa.binary()),
-                    }
-                )
-
-    return run
-
-
-SETS = np.dtype([("key", np.uint64), ("n", np.uint32)])
-BLOCK_SCHEMA = "part int, sets binary, low binary, mid binary, top binary, idx binary"
-ALONE_SCHEMA = "part int, key binary, n binary, alone binary"
-SHARED_SCHEMA = "part int, key binary, n binary, shingle binary, df binary"
-SET_SCHEMA = "set_key bigint, n int, shingles binary, prefix binary"
-
-
-def _range_rows(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Set keys, set sizes and shingles of a hash range's blocks."""
-    keys, ns, sh = [], [], []
-    for sets, low, mid, top, idx in zip(*(t.column(c).to_pylist() for c in ("sets", "low", "mid", "top", "idx")), strict=True):
-        s = np.frombuffer(sets, SETS)[np.frombuffer(idx, np.uint16)]
-        keys.append(s["key"])
-        ns.append(s["n"])
-        high = np.frombuffer(mid, np.uint16).astype(np.uint64) | (unpack_gaps(top).astype(np.uint64) << np.uint64(16))
-        sh.append(np.frombuffer(low, np.uint32).astype(np.uint64) | (high << np.uint64(32)))
-    return np.concatenate(keys), np.concatenate(ns), np.concatenate(sh)
-
-
-def _dealt(to: np.ndarray, ranges: int, columns: dict[str, np.ndarray]) -> pa.Table:
-    """A row for each destination, with its share of each column as bytes."""
+def _first_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (k1, k2, text) without texts that the task has already passed on."""
+    seen: set[tuple[int, int]] = set()
+    for b in batches:
+        keep = []
+        for i, k in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+            if k not in seen:
+                seen.add(k)
+                keep.append(i)
+        if len(seen) > SEEN_TEXTS:
+            seen.clear()
+        yield b if len(keep) == b.num_rows else b.take(pa.array(keep, pa.int64()))
+
+
+def distinct_texts(text: DataFrame, groups: int) -> DataFrame:
+    """(part, k1, k2, text): one row a text, dealt to groups by hash. text: (k1, k2, text)."""
+    first = text.mapInArrow(_first_copies, "k1 bigint, k2 bigint, text string")
+    dealt = first.withColumn("part", F.pmod("k1", F.lit(groups)).cast("int")).repartition("part")
+    return dealt.groupBy("part", "k1", "k2").agg(F.first("text").alias("text"))
+
+
+def group_sets(t: pa.Table, words_per: int) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    """A group in order of its keys; (row, shingle), sorted and distinct, and the sets' sizes."""
+    t = t.sort_by([("k1", "ascending"), ("k2", "ascending")])
+    rows, shingles, sizes = [], [], []
+    for lo, _, buf, off in text_slices(t.column("text")):
+        row, sh, size = slice_sets(buf, off, words_per)
+        rows.append(lo + row)
+        shingles.append(sh)
+        sizes.append(size)
+    join = lambda x, kind: np.concatenate([np.zeros(0, kind), *x])
+    return t, join(rows, np.int64), join(shingles, np.uint64), join(sizes, np.int64)
+
+
+def _by_range(distinct: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of distinct shingles by hash range, and where each range begins."""
+    to = ((distinct >> np.uint64(32)) % np.uint64(ranges)).astype(np.int32)
     order = np.argsort(to, kind="stable")
-    cut = np.searchsorted(to[order], np.arange(ranges + 1))
-    has = np.flatnonzero(cut[1:] > cut[:-1])
-    out = {"part": pa.array(has, pa.int32())}
-    for name, c in columns.items():
-        c = c[order]
-        out[name] = pa.array([c[cut[r] : cut[r + 1]].tobytes() for r in has], pa.binary())
-    return pa.table(out)
-
-
-def _alone(ranges: int):
-    """Reducer of a hash range: for each set, its shingles that no other distinct set holds."""
-
-    def run(t: pa.Table) -> pa.Table:
-        keys, ns, sh = _range_rows(t)
-        order = np.argsort(sh)
-        keys, ns, sh = keys[order], ns[order], sh[order]
-        start, end = runs(sh)
-        same = np.minimum.reduceat(keys, start) == np.maximum.reduceat(keys, start)  # copies of one set, or one
-        at = start[same]
-        keys, ns = keys[at], ns[at]
-        order = np.argsort(keys)
-        keys, ns = keys[order], ns[order]
-        start, end = runs(keys)
-        keys = keys[start]
-        return _dealt((keys % np.uint64(ranges)).astype(np.int32), ranges, {"key": keys, "n": ns[start], "alone": (end - start).astype(np.uint32)})
+    return order, np.searchsorted(to[order], np.arange(ranges + 1))
+
+
+def _held(words_per: int, ranges: int):
+    """Distinct shingles of a group by hash range, with the number of its sets that hold each."""
+
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        _, _, sh, _ = group_sets(t, words_per)
+        sh, sets = np.unique(sh, return_counts=True)
+        order, cut = _by_range(sh, ranges)
+        sh, sets = sh[order], sets[order]
+        data, ends = pack_varints(sets)
+        at = np.concatenate([[0], ends])[cut]
+        has = np.flatnonzero(cut[1:] > cut[:-1]).tolist()
+        return pa.table(
+            {
+                "range": pa.array(has, pa.int32()),
+                "part": pa.array([key[0].as_py()] * len(has), pa.int32()),
+                "shingles": pa.array([sh[cut[r] : cut[r + 1]].tobytes() for r in has], pa.binary()),
+                "sets": pa.array([data[at[r] : at[r + 1]].tobytes() for r in has], pa.binary()),
+            }
+        )
 
     return run
 
 
-def _leaving(num: int, den: int):
-    """Sets whose unshared shingles leave no room for a link."""
-
-    def run(t: pa.Table) -> pa.Table:
-        join = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
-        key, n, alone = join("key", np.uint64), join("n", np.uint32).astype(np.int64), join("alone", np.uint32).astype(np.int64)
-        order = np.argsort(key)
-        key, n, alone = key[order], n[order], alone[order]
-        start, _ = runs(key)
-        total, n = np.add.reduceat(alone, start), n[start]
-        return pa.table({"set_key": pa.array(key[start][total > n - need(n, num, den)].view(np.int64))})
-
-    return run
-
-
-def _shared(ranges: int):
-    """Reducer of a hash range: shingles of two or more distinct sets, dealt out by set."""
-
-    def run(t: pa.Table) -> pa.Table:
-        keys, ns, sh = _range_rows(t)
-        order = np.argsort(sh)
-        s = sh[order]
-        dup = np.zeros(len(s), bool)
-        dup[1:] = s[1:] == s[:-1]
-        dup[:-1] |= dup[1:]
-        order = order[dup]  # only shingles met twice: by copies of a set or by several sets
-        keys, ns, sh = keys[order], ns[order], sh[order]
-        order = np.lexsort((keys, sh))
-        keys, ns, sh = keys[order], ns[order], sh[order]
-        new = np.ones(len(sh), bool)
-        new[1:] = (sh[1:] != sh[:-1]) | (keys[1:] != keys[:-1])
-        keys, ns, sh = keys[new], ns[new], sh[new]
-        _, inv, df = np.unique(sh, return_inverse=True, return_counts=True)
-        df = df[inv]
+HELD_SCHEMA = "range int, part int, shingles binary, sets binary"
+ANSWER_SCHEMA = "part int, range int, df binary"
+SET_SCHEMA = "set_key bigint, k1 bigint, k2 bigint, n int, shingles binary, prefix binary"
+
+
+def _frequencies(t: pa.Table) -> pa.Table:
+    """Reducer of a hash range: of each shingle in how many sets it is, in the order it came in."""
+    sh = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
+    sets = np.concatenate([unpack_varints(x) for x in t.column("sets").to_pylist()]).astype(np.int64)
+    ends = np.cumsum([0, *map(len, sh)])
+    order = np.argsort(np.concatenate(sh), kind="stable")
+    start, end = runs(np.concatenate(sh)[order])
+    df = np.empty(len(order), np.int64)
+    df[order] = np.repeat(np.add.reduceat(sets[order], start), end - start)
+    data, at = pack_varints(df)
+    at = np.concatenate([[0], at])[ends]
+    return pa.table({"part": t.column("part"), "range": t.column("range"), "df": pa.array([data[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())})
+
+
+def _sets_of_group(words_per: int, ranges: int, num: int, den: int):
+    """All sets of a group; those that share enough with their shared shingles and their prefix."""
+
+    def run(t: pa.Table, answers: pa.Table) -> pa.Table:
+        part = t.column("part")[0].as_py() if t.num_rows else 0
+        t, row, sh, size = group_sets(t, words_per)
+        distinct, at = np.unique(sh, return_inverse=True)
+        order, cut = _by_range(distinct, ranges)
+        df = np.zeros(len(distinct), np.int64)
+        for r, x in zip(answers.column("range").to_pylist(), answers.column("df").to_pylist(), strict=True):
+            df[order[cut[r] : cut[r + 1]]] = unpack_varints(x)
+        df = df[at]
         m = df > 1
-        keys, ns, sh, df = keys[m], ns[m], sh[m], df[m]
-        return _dealt((keys % np.uint64(ranges)).astype(np.int32), ranges, {"key": keys, "n": ns, "shingle": sh, "df": df.astype(np.uint32)})
-
-    return run
-
-
-def _gather(num: int, den: int):
-    """Sets that share enough, with their shared shingles and their prefix."""
-
-    def run(t: pa.Table) -> pa.Table:
-        join = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
-        key, n, sh, df = join("key", np.uint64), join("n", np.uint32), join("shingle", np.uint64), join("df", np.uint32)
-        order = np.argsort(key, kind="stable")
-        key, n, sh, df = key[order], n[order].astype(np.int64), sh[order], df[order]
-        first, ends = runs(key)
-        live = ends - first
-        good = live >= need(n[first], num, den)
-        m = np.repeat(good, live)
-        key, n, sh, df = key[m], n[m], sh[m], df[m]
-        order = np.lexsort((sh, df, key))
-        key, n, sh = key[order], n[order], sh[order]
-        first, ends = runs(key)
-        out = {"set_key": key[first].view(np.int64), "n": n[first].astype(np.int32), "shingles": [], "prefix": []}
-        for a, b in zip(first.tolist(), ends.tolist(), strict=True):
-            size = int(n[a])
-            keep = max(0, size - need(size, num, den) + 1 - (size - (b - a)))
-            out["shingles"].append(np.sort(sh[a:b]).tobytes())
-            out["prefix"].append(sh[a : a + keep].tobytes())
-        return pa.table({"set_key": pa.array(out["set_key"]), "n": pa.array(out["n"]), "shingles": pa.array(out["shingles"], pa.binary()), "prefix": pa.array(out["prefix"], pa.binary())})
+        row, sh, df = row[m], sh[m], df[m]
+        live = np.bincount(row, minlength=len(size))
+        good = (size > 0) & (live >= need(size, num, den))
+        ends = np.cumsum(live)
+        begin, prefix = ends - live, size - need(size, num, den) + 1 - (size - live)
+        order = np.lexsort((sh, df, row))
+        rare = sh[order]
+        piece = lambda x, a, n: [x[i : i + k].tobytes() if g else None for i, k, g in zip(a.tolist(), n.tolist(), good.tolist(), strict=True)]
+        return pa.table(
+            {
+                "set_key": pa.array((part << NODE_BITS) + np.arange(len(size))),
+                "k1": t.column("k1"),
+                "k2": t.column("k2"),
+                "n": pa.array(size, pa.int32()),
+                "shingles": pa.array(piece(sh, begin, live), pa.binary()),
+                "prefix": pa.array(piece(rare, begin, np.maximum(prefix, 0)), pa.binary()),
+            }
+        )
 
     return run
 
@@ -306,12 +245,7 @@ class InvertedLists:
         return k[np.argsort(self.end[k] - self.start[k], kind="stable")]
 
     def merged(self, lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """(set, number of lists that hold it), ascending: by a heap over the lists' fronts; where
-        they hold more entries than there are sets several times over, by counting them all."""
-        if sum(map(len, lists)) > DENSE * self.n:
-            count = np.bincount(np.concatenate(lists), minlength=self.n)
-            cand = np.flatnonzero(count)
-            return cand, count[cand]
+        """(set, number of lists that hold it), ascending, by a heap over the lists' fronts."""
         pairs = [(s, sum(1 for _ in hits)) for s, hits in groupby(heapq.merge(*(x.tolist() for x in lists)))]
         return np.array([s for s, _ in pairs], np.int64), np.array([c for _, c in pairs], np.int64)
 
@@ -362,43 +296,30 @@ class Union:
 def block_components(sets: list[np.ndarray], sizes: np.ndarray, num: int, den: int) -> np.ndarray:
     """Label of each set: the smallest number that links reach within the block.
 
-    First every set meets the leaders found so far, largest following first, in vector
-    form. What is then outside the largest component searches the whole index; two sets
-    that are both inside it need no comparison.
+    First every set that no search has found so far searches the index for all its links. What
+    was found but is outside the largest component then searches too, for sets that it isn't
+    in one component with. So of any two sets that link, one has searched for the other, or
+    both are in the largest component.
     """
     n = len(sets)
     u = Union(n)
-    leaders: list[int] = []
-    for i in range(n):
-        for k, j in enumerate(leaders[:8]):
-            if min(sizes[i], sizes[j]) * den >= num * max(sizes[i], sizes[j]):
-                common = _overlap(sets[i], sets[j])
-                if linked(common, int(sizes[i]), int(sizes[j]), num, den):
-                    u.join(i, j)
-                    leaders.insert(0, leaders.pop(k))
-                    break
-        else:
-            leaders.append(i)
-    label = u.labels()
-    count = np.bincount(label, minlength=n)
-    rest = np.flatnonzero(label != count.argmax())
-    if len(rest):
+    if n > 1:
         index = InvertedLists(sets, sizes)
-        asked = np.zeros(n, bool)  # what has searched needn't be found
-        for i in rest.tolist():
+        asked, found = np.zeros(n, bool), np.zeros(n, bool)  # what has searched needn't be found
+        for i in range(n):
+            if not found[i]:
+                asked[i] = True
+                for j, _ in index.search(sets[i], int(sizes[i]), asked, num, den):
+                    u.join(i, j)
+                    found[j] = True
+        label = u.labels()
+        for i in np.flatnonzero(~asked & (label != np.bincount(label, minlength=n).argmax())).tolist():
             asked[i] = True
             for j, _ in index.search(sets[i], int(sizes[i]), asked | (label == label[i]), num, den):
                 u.join(i, j)
     return u.labels()
 
 
-def _overlap(a: np.ndarray, b: np.ndarray) -> int:
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    return int(np.count_nonzero(b[np.minimum(at, len(b) - 1)] == a)) if len(b) else 0
-
-
 def _unpack(column) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) for x in column]
 
@@ -427,14 +348,14 @@ def _against_block(num: int, den: int):
     return run
 
 
-def _blocked(placed: DataFrame, block_shingles: int) -> DataFrame:
-    """(set_key, near, block): sets of a neighbourhood dealt evenly to blocks of about block_shingles."""
-    blocks = placed.groupBy("near").agg(F.sum("size").alias("total")).select("near", F.ceil(F.col("total") / block_shingles).cast("int").alias("n"))
-    return placed.join(blocks, "near").select("set_key", "near", F.pmod(F.xxhash64("set_key"), "n").cast("int").alias("block"))
+def _blocked(placed: DataFrame, block_sets: int, block_shingles: int) -> DataFrame:
+    """(set_key, near, block): sets of a neighbourhood dealt evenly to blocks of bounded size."""
+    blocks = placed.groupBy("near").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_sets), F.ceil(F.sum("size") / block_shingles)).cast("int").alias("n"))
+    return placed.join(blocks, "near").select("set_key", "near", F.pmod(F.xxhash64("set_key"), "n").cast("int").alias("block"), "n")
 
 
-def links(sets: DataFrame, folder: str, num: int, den: int, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """Edges u, v (set keys) that span the same components as all links do."""
+def links(sets: DataFrame, folder: str, num: int, den: int, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """Edges u, v (set keys) that span the same components as all links do. sets: (set_key, n, shingles, prefix)."""
     prefix = sets.select("set_key", "n", "prefix").mapInArrow(_prefix_rows, "shingle bigint, set_key bigint, n int")
     # sets of one size class meet at its smallest key, classes next to each other at theirs
     step = math.log(den / num) * (1 + 1e-9)  # sets that link are at most a class apart
@@ -446,45 +367,48 @@ def links(sets: DataFrame, folder: str, num: int, den: int, block_shingles: int
     near = stored(components(chain, f"{folder}/near"), f"{folder}/neighbourhoods")
     size = (F.octet_length("shingles") / 8).cast("bigint") + 16  # small sets count for their row too
     placed = sets.select("set_key", size.alias("size")).join(near.select(F.col("node").alias("set_key"), F.col("component").alias("near")), "set_key")
-    cut = _blocked(placed, block_shingles)
-    cut = stored(cut, f"{folder}/blocks")
-    full = sets.drop("prefix").join(cut, "set_key")
-    first = stored(full.groupBy("near", "block").applyInPandas(_in_block(num, den), "u bigint, v bigint"), f"{folder}/in_block")
+    cut = stored(_blocked(placed, block_sets, block_shingles), f"{folder}/blocks")
+    plain = sets.drop("prefix")
+    first = stored(plain.join(cut.drop("n"), "set_key").groupBy("near", "block").applyInPandas(_in_block(num, den), "u bigint, v bigint"), f"{folder}/in_block")
     out = first.filter("u <> v")
-    large = cut.filter("block > 0").select("near").distinct()
-    if large.isEmpty():
+    cut = cut.filter("n > 1").drop("n")  # neighbourhoods of several blocks
+    if cut.isEmpty():
         return out
-    # neighbourhoods of several blocks: the components' leaders meet, then what stays outside the largest meets all blocks
-    lead = first.select(F.col("v").alias("set_key")).distinct().join(cut.join(large, "near", "left_semi"), "set_key").select("set_key", "near").join(placed.select("set_key", "size"), "set_key")
-    lead = sets.drop("prefix").join(_blocked(lead, block_shingles), "set_key")
-    met = stored(lead.groupBy("near", "block").applyInPandas(_in_block(num, den), "u bigint, v bigint").filter("u <> v"), f"{folder}/leaders")
-    comp = first.join(met.select(F.col("u").alias("v"), F.col("v").alias("w")), "v", "left").select(F.col("u").alias("set_key"), F.coalesce("w", "v").alias("component"))
-    of = cut.join(large, "near", "left_semi").join(comp, "set_key")
-    of = stored(of, f"{folder}/merged")
+    # a set for each component so far meets the others', in ever fewer blocks
+    of = cut.join(first.select(F.col("u").alias("set_key"), F.col("v").alias("component")), "set_key")
+    sized = placed.select(F.col("set_key").alias("component"), "size")
+    known, alone = None, False
+    for k in count():
+        of = stored(of, f"{folder}/of{k}")
+        leads = of.select("near", "component").distinct()
+        n = leads.count()
+        if alone or (known is not None and 2 * n > known):  # all have met, or too few were joined for another round to pay
+            break
+        known = n
+        lead = _blocked(leads.join(sized, "component").withColumnRenamed("component", "set_key"), block_sets, block_shingles)
+        met = stored(plain.join(lead.drop("n"), "set_key").groupBy("near", "block").applyInPandas(_in_block(num, den), "u bigint, v bigint").filter("u <> v"), f"{folder}/met{k}")
+        out = out.unionByName(met)
+        alone = lead.filter("n > 1").isEmpty()
+        of = of.join(met.select(F.col("u").alias("component"), "v"), "component", "left").select("set_key", "near", "block", F.coalesce("v", "component").alias("component"))
+    # what is outside the largest component searches the other blocks that hold one of its prefix shingles
     counts = of.groupBy("near", "component").count()
     top = counts.groupBy("near").agg(F.max_by("component", F.struct("count", "component")).alias("top"))
-    n_blocks = of.groupBy("near").agg(F.max("block").alias("blocks"))
-    full = sets.drop("prefix").join(of, "set_key")
-    rest = full.join(top, "near").filter("component <> top").drop("block", "top").join(n_blocks, "near")
-    rest = rest.withColumn("block", F.explode(F.sequence(F.lit(0), "blocks"))).drop("blocks")
-    rest = rest.select(*(F.col(c).alias(f"q_{c}") if c in ("near", "block") else F.col(c).alias(c, metadata={"of": "query"}) for c in rest.columns))
-    cross = rest.groupBy("q_near", "q_block").cogroup(full.groupBy("near", "block")).applyInPandas(_against_block(num, den), "u bigint, v bigint")
-    return out.unionByName(met).unionByName(stored(cross, f"{folder}/cross"))
-
-
-def bitmap(sets: DataFrame, n: int) -> np.ndarray:
-    """Bits by set key modulo their number: 16 or more a set, MAX_BITS at most."""
-    bits = 1 << min(max(18, (16 * n).bit_length()), MAX_BITS.bit_length() - 1)
-    place = F.col("set_key").bitwiseAND(F.lit(bits - 1)) + 1
-    rows = sets.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
-    out = np.zeros(bits // 8, np.uint8)
-    for r in rows.toLocalIterator():
-        at = (r["bucket"] - 1) * 4096
-        out[at : at + 4096] = np.frombuffer(r["bits"], np.uint8)
-    return out
-
-
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per: int = 5, threshold: tuple[int, int] = (75, 100), block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    rest = of.join(top, "near").filter("component <> top").select("set_key", F.col("near").alias("q_near"), F.col("block").alias("own"))
+    asks = prefix.select("shingle", "set_key").join(rest, "set_key")
+    holds = prefix.select("shingle", "set_key").join(of, "set_key").select("shingle", F.col("near").alias("q_near"), F.col("block").alias("q_block")).distinct()
+    route = asks.join(holds, ["shingle", "q_near"]).filter("q_block <> own").select("set_key", "q_near", "q_block").distinct()
+    route = stored(route.join(placed.select("set_key", "size"), "set_key"), f"{folder}/route")
+    # many searches of one block are dealt to several tasks
+    each = route.groupBy("q_near", "q_block").agg(F.ceil(F.sum("size") / block_shingles).cast("int").alias("n"))
+    asked = route.join(each, ["q_near", "q_block"]).withColumn("q_deal", F.pmod(F.xxhash64("set_key", F.lit(1)), "n").cast("int")).drop("size", "n")
+    asked = asked.join(of.select("set_key", "component"), "set_key").join(plain, "set_key")
+    asked = asked.select(*(F.col(c).alias(c, metadata={"of": "query"}) for c in asked.columns))
+    full = plain.join(of, "set_key").join(each.select(F.col("q_near").alias("near"), F.col("q_block").alias("block"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("deal")), ["near", "block"])
+    cross = asked.groupBy("q_near", "q_block", "q_deal").cogroup(full.groupBy("near", "block", "deal")).applyInPandas(_against_block(num, den), "u bigint, v bigint")
+    return out.unionByName(stored(cross, f"{folder}/cross"))
+
+
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per: int = 5, threshold: tuple[int, int] = (75, 100), block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id that links reach).
 
     A-Z are lower-cased; words are runs of bytes other than space and \\t to \\r. The set of
@@ -497,33 +421,27 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     num, den = threshold
     spark = docs.sparkSession
     folder = shared_dir(spark)
-    text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    named = stored(text.mapInArrow(_sets(words_per), f"doc_id {text.schema['doc_id'].dataType.simpleString()}, n_shingles bigint, set_key bigint"), f"{folder}/sets")
-    n = text_bytes(text)
-    ranges = parts(spark, n // 2, RANGE_BYTES)
-    halves = text.select("text").mapInArrow(_blocks(words_per, ranges), BLOCK_SCHEMA)
-    alone = halves.groupBy("part").applyInArrow(_alone(ranges), ALONE_SCHEMA)
-    leaving = alone.groupBy("part").applyInArrow(_leaving(num, den), "set_key bigint")
-    by_set = stored(named.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("low"), F.first("n_shingles").alias("n")), f"{folder}/by_set")
-    staying = stored(by_set.join(leaving, "set_key", "left_anti"), f"{folder}/staying")
-    kept = staying.agg(F.count(F.lit(1)), F.sum("n")).first()
-    chosen = spark.sparkContext.broadcast(bitmap(staying, kept[0]))
-    ranges = parts(spark, 8 * (kept[1] or 0), RANGE_BYTES)
-    blocks = text.select("text").mapInArrow(_blocks(words_per, ranges, chosen), BLOCK_SCHEMA)
-    shared = blocks.groupBy("part").applyInArrow(_shared(ranges), SHARED_SCHEMA)
-    sets = stored(shared.groupBy("part").applyInArrow(_gather(num, den), SET_SCHEMA), f"{folder}/shared")
-    comp = components(links(sets, folder, num, den, block_shingles), f"{folder}/components")
-    # a set's documents are linked by being equal; then sets by components
+    text = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = text.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), "text")})
+    wordy = F.col("text").rlike("[^ \\t-\\r]")
+    named = stored(text.select("doc_id", "k1", "k2", F.octet_length("text").alias("bytes"), wordy.alias("wordy")), f"{folder}/named")
+    by_text = stored(named.filter("wordy").groupBy("k1", "k2").agg(F.min("doc_id").alias("low"), F.first("bytes").cast("bigint").alias("bytes")), f"{folder}/by_text")
+    n = by_text.agg(F.sum("bytes")).first()[0] or 0
+    groups, ranges = parts(spark, n, GROUP_BYTES), parts(spark, n, RANGE_BYTES)
+    texts = distinct_texts(text.filter(wordy).select("k1", "k2", "text"), groups)
+    held = texts.groupBy("part").applyInArrow(_held(words_per, ranges), HELD_SCHEMA)
+    answers = held.groupBy("range").applyInArrow(_frequencies, ANSWER_SCHEMA)
+    sets = texts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_sets_of_group(words_per, ranges, num, den), SET_SCHEMA)
+    sets = stored(sets, f"{folder}/sets")
+    comp = components(links(sets.filter("shingles IS NOT NULL").drop("k1", "k2"), folder, num, den, block_sets, block_shingles), f"{folder}/components")
+    # a text's documents are linked by being equal; then texts by components
     comp = comp.select(F.col("node").alias("set_key"), "component")
-    grouped = by_set.join(comp, "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
+    grouped = sets.drop("shingles", "prefix").join(comp, "set_key", "left").withColumn("component", F.coalesce("component", "set_key")).join(by_text, ["k1", "k2"])
     least = grouped.groupBy("component").agg(F.min("low").alias("component_id"))
-    of_set = grouped.join(least, "component").select("set_key", "component_id", F.lit(True).alias("is_set"))
-    out = named.withColumn("set_key", F.when(F.col("n_shingles") > 0, F.col("set_key"))).join(of_set, "set_key", "left")
-    return out.select(
-        F.col("doc_id").alias(id_col),
-        "n_shingles",
-        F.when(F.col("is_set"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-    )
+    of_text = grouped.join(least, "component").select("k1", "k2", F.col("n").cast("bigint").alias("n_shingles"), "component_id")
+    found = named.filter("wordy").join(of_text, ["k1", "k2"]).select("doc_id", "n_shingles", "component_id")
+    blank = named.filter("NOT wordy").select("doc_id", F.lit(0).cast("bigint").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return found.unionByName(blank).withColumnRenamed("doc_id", id_col)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
