@@ -13,15 +13,17 @@ between the matches, and running lengths give the offsets.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
-from re import _constants as sre
-from re import _parser as sre_parse  # the parser of regular expressions, by its name since Python 3.11
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headmint.llm.common import shared_dir, stored
 
+BROADCAST_BYTES = 64 << 20  # of candidates, at KEY_BYTES each; more of them are joined by a shuffle
+KEY_BYTES = 24  # a row's key and its rules, with what a hash table adds
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -52,48 +54,154 @@ MAX_STRINGS = 32  # alternatives followed before a query gives up on being exact
 # ------------------------------------------------------------------ trigram queries
 
 
+@dataclass(frozen=True)
+class Chars:
+    """One character: any of these, in lower case; None if they are too many to list."""
+
+    of: frozenset[str] | None
+
+
+@dataclass(frozen=True)
+class Choice:
+    """Any of several sequences."""
+
+    of: tuple[tuple, ...]
+
+
+@dataclass(frozen=True)
+class Repeat:
+    """An item from low to high times; None: without end."""
+
+    item: object
+    low: int
+    high: int | None
+
+
+EMPTY = Choice(((),))  # what matches without taking a character
+CONTROL = {"t": "\t", "n": "\n", "r": "\r", "f": "\f", "v": "\v", "a": "\a"}
+
+
+class Parser:
+    """Reads what rules use of regular expressions: literals, classes, groups, alternatives and counts."""
+
+    def __init__(self, pattern: str):
+        re.compile(pattern)  # what isn't an expression is refused here
+        self.s, self.i = pattern, 0
+
+    def take(self, text: str) -> bool:
+        if self.s.startswith(text, self.i):
+            self.i += len(text)
+            return True
+        return False
+
+    def choice(self) -> Choice:
+        out = [self.sequence()]
+        while self.take("|"):
+            out.append(self.sequence())
+        return Choice(tuple(out))
+
+    def sequence(self) -> tuple:
+        out = []
+        while self.i < len(self.s) and self.s[self.i] not in "|)":
+            out.append(self.counted(self.item()))
+        return tuple(out)
+
+    def counted(self, item):
+        low, high = 1, 1
+        m = re.compile(r"\{(\d*)(,?)(\d*)\}").match(self.s, self.i)
+        if self.take("?"):
+            low = 0
+        elif self.take("*"):
+            low, high = 0, None
+        elif self.take("+"):
+            high = None
+        elif m and (m[1] or m[2]):
+            low = int(m[1] or 0)
+            high = low if not m[2] else int(m[3]) if m[3] else None
+            self.i = m.end()
+        else:
+            return item
+        if not self.take("?"):  # lazy or possessive: the same strings
+            self.take("+")
+        return Repeat(item, low, high)
+
+    def item(self):
+        if self.take("("):
+            around = re.compile(r"\?<?[=!]").match(self.s, self.i)
+            if m := re.compile(r"\?(<?[=!]|P<\w+>|>|[a-zA-Z]*(-[a-zA-Z]+)?[:)])").match(self.s, self.i):
+                self.i = m.end()
+                if m[1].endswith(")"):  # flags alone
+                    return EMPTY
+            inner = self.choice()
+            self.take(")")
+            return EMPTY if around else inner
+        if self.take("["):
+            return self.members()
+        if self.take("."):
+            return Chars(None)
+        if self.take("^") or self.take("$"):
+            return EMPTY
+        return self.escape() if self.take("\\") else self.literal()
+
+    def literal(self) -> Chars:
+        self.i += 1
+        return Chars(frozenset(self.s[self.i - 1].lower()))
+
+    def escape(self):
+        c = self.s[self.i]
+        self.i += 1
+        if c in "xu":
+            n = 2 if c == "x" else 4
+            self.i += n
+            return Chars(frozenset(chr(int(self.s[self.i - n : self.i], 16)).lower()))
+        if c in CONTROL:
+            return Chars(frozenset(CONTROL[c]))
+        if c in "bBAZ":
+            return EMPTY
+        return Chars(None) if c.isalnum() else Chars(frozenset(c))  # a class such as \\d, or a reference
+
+    def members(self) -> Chars:
+        no = self.take("^")
+        out: set[str] | None = None if no else set()
+        first = True
+        while first or not self.take("]"):
+            first = False
+            a = self.escape().of if self.take("\\") else self.literal().of
+            if self.s[self.i] == "-" and self.s[self.i + 1] != "]":
+                self.i += 1
+                b = self.escape().of if self.take("\\") else self.literal().of
+                low, high = (ord(*x) if x else 0 for x in (a, b))
+                a = frozenset(chr(c).lower() for c in range(low, high + 1)) if b and high - low < MAX_STRINGS else None
+            out = None if out is None or a is None else out | a
+        return Chars(frozenset(out) if out is not None and len(out) <= 8 else None)
+
+
 def _strings(item) -> set[str] | None:
-    """All strings that a parsed item can match, in lower case; None if they are too many."""
-    op, arg = item
-    if op is sre.LITERAL:
-        return {chr(arg).lower()}
-    if op is sre.IN:
-        out: set[str] = set()
-        for kind, x in arg:
-            if kind is sre.LITERAL:
-                out.add(chr(x).lower())
-            elif kind is sre.RANGE and x[1] - x[0] < MAX_STRINGS:
-                out |= {chr(c).lower() for c in range(x[0], x[1] + 1)}
-            else:
-                return None
-        return out if len(out) <= 8 else None
-    if op is sre.SUBPATTERN:
-        return _all(arg[-1])
-    if op is sre.BRANCH:
-        parts = [_all(b) for b in arg[1]]
+    """All strings that an item can match, in lower case; None if they are too many."""
+    if isinstance(item, Chars):
+        return None if item.of is None else set(item.of)
+    if isinstance(item, Choice):
+        parts = [_all(b) for b in item.of]
         if any(p is None for p in parts):
             return None
         out = set().union(*parts)
         return out if len(out) <= MAX_STRINGS else None
-    if op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[1] is not sre.MAXREPEAT and arg[1] <= 3:
-        one = _all(arg[2])
-        if one is None:
+    if item.high is None or item.high > 3 or (one := _strings(item.item)) is None:
+        return None
+    out, power = (set() if item.low else {""}), {""}
+    for k in range(1, item.high + 1):
+        power = {a + b for a in power for b in one}
+        if len(power) > MAX_STRINGS:
             return None
-        out, power = (set() if arg[0] else {""}), {""}
-        for k in range(1, arg[1] + 1):
-            power = {a + b for a in power for b in one}
-            if len(power) > MAX_STRINGS:
-                return None
-            if k >= arg[0]:
-                out |= power
-        return out
-    return {""} if op is sre.AT else None
-
-
-def _all(parsed) -> set[str] | None:
+        if k >= item.low:
+            out |= power
+    return out
+
+
+def _all(sequence: tuple) -> set[str] | None:
     """All strings of a sequence."""
     out = {""}
-    for item in parsed:
+    for item in sequence:
         s = _strings(item)
         if s is None or len(out) * len(s) > MAX_STRINGS:
             return None
@@ -125,9 +233,9 @@ def trigram_query(pattern: str) -> set[frozenset[str]]:
         if clauses and len(query) * len(clauses) <= 256:
             query = _simplest({a | b for a in query for b in clauses})
 
-    def walk(parsed) -> None:
+    def walk(sequence: tuple) -> None:
         run = {""}
-        for item in parsed:
+        for item in sequence:
             s = _strings(item)
             if s is not None and len(run) * len(s) <= MAX_STRINGS:
                 run = {a + b for a in run for b in s}
@@ -135,14 +243,13 @@ def trigram_query(pattern: str) -> set[frozenset[str]]:
             require(run)
             run = s if s is not None else {""}
             if s is None:
-                op, arg = item
-                if op is sre.SUBPATTERN:
-                    walk(arg[-1])
-                elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[0] >= 1:
-                    walk(arg[2])
+                if isinstance(item, Repeat) and item.low >= 1:
+                    walk((item.item,))
+                elif isinstance(item, Choice) and len(item.of) == 1:
+                    walk(item.of[0])
         require(run)
 
-    walk(sre_parse.parse(pattern))
+    walk((Parser(pattern).choice(),))
     return query
 
 
@@ -170,12 +277,12 @@ def trigram_index(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     return docs.select("row", F.explode(there).alias("trigram")).select("trigram", "row")
 
 
-def candidates(index: DataFrame, clauses: list[tuple[str, int, list[str]]]) -> DataFrame:
-    """(row, kinds): rows in the intersection of all postings of some clause."""
-    rows = [F.struct(F.lit(kind).alias("kind"), F.lit(k).alias("clause"), F.lit(t).alias("trigram"), F.lit(len(ts)).alias("needed")) for kind, k, ts in clauses for t in ts]
+def candidates(index: DataFrame, clauses: list[tuple[str, int, list[str]]], kinds: list[str]) -> DataFrame:
+    """(row, found): rows in the intersection of all postings of some clause; found has a bit for each of kinds."""
+    rows = [F.struct(F.lit(1 << kinds.index(kind)).cast("bigint").alias("bit"), F.lit(k).alias("clause"), F.lit(t).alias("trigram"), F.lit(len(ts)).alias("needed")) for kind, k, ts in clauses for t in ts]
     asked = index.sparkSession.range(1).select(F.inline(F.array(*rows)))
-    counted = index.join(F.broadcast(asked), "trigram").groupBy("row", "kind", "clause").agg(F.count_distinct("trigram").alias("n"), F.first("needed").alias("needed"))
-    return counted.filter("n >= needed").groupBy("row").agg(F.collect_set("kind").alias("kinds"))
+    counted = index.join(F.broadcast(asked), "trigram").groupBy("row", "bit", "clause").agg(F.count_distinct("trigram").alias("n"), F.first("needed").alias("needed"))
+    return counted.filter("n >= needed").groupBy("row").agg(F.bit_or("bit").alias("found"))
 
 
 SPANS = "array<struct<start:bigint,end:bigint,kind:string>>"
@@ -217,8 +324,12 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if clauses:
         folder = shared_dir(docs.sparkSession)
         index = stored(trigram_index(d.select("row", "text"), sorted({t for _, _, ts in clauses for t in ts})), f"{folder}/trigrams")
-        d = d.join(candidates(index, clauses), "row", "left")
-        spans += [F.when(F.array_contains("kinds", r.kind), rule_spans(F.col("text"), r)).otherwise(none) for r in rules if r not in full]
+        kinds = list(dict.fromkeys(c[0] for c in clauses))
+        found = stored(candidates(index, clauses, kinds), f"{folder}/candidates")
+        if found.count() * KEY_BYTES <= BROADCAST_BYTES:  # then texts stay where they were read
+            found = F.broadcast(found)
+        d = d.join(found, "row", "left")
+        spans += [F.when(F.col("found").bitwiseAND(F.lit(1 << kinds.index(r.kind))) > 0, rule_spans(F.col("text"), r)).otherwise(none) for r in rules if r not in full]
     rank = F.map_from_arrays(F.array(*(F.lit(r.kind) for r in rules)), F.array(*(F.lit(k) for k in range(len(rules)))))
     ranked = F.transform(F.concat(*spans), lambda s: F.struct(s["start"].alias("start"), rank[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
     ordered = F.transform(F.array_sort(ranked), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
