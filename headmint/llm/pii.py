@@ -1,11 +1,14 @@
 """Personal data in texts: exact base patterns, and more found by a linear-chain CRF.
 
-Base spans follow four fixed patterns. A conditional random field over word shapes adds
-spans that they miss, such as telephone numbers without a plus sign. It is trained from a
-small labelled table (`LABELLED`) and decoded by Viterbi in numpy batches.
-
-A word without a digit or an @ is always outside: the chain is cut there, which makes runs
-of the other words independent of each other and the decoding of long texts cheap and
+Base spans follow four fixed patterns. A conditional random field over word shapes and the
+words around adds spans that they miss, such as telephone numbers without a plus sign: after
+"tel" or "call" ten digits are a number to ring, after "ISBN" or "order" they aren't. It is
+trained from a small labelled table of sentences (`LABELLED`) and decoded by Viterbi in numpy
+batches.
+
+The field's chains are runs of neighbouring words with a digit or an @; other words are
+outside by rule and reach the field as features: the BEFORE words before a run and the one
+after it. That makes runs independent of each other and the decoding of long texts cheap and
 exact. Words are found in numpy over the bytes of a slice; only texts with a digit or an @
 are looked at as strings.
 """
@@ -78,26 +81,62 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # ------------------------------------------------------------------ the random field
 
 
-def _labelled() -> list[list[tuple[str, str]]]:
-    """The labelled table: runs of words with digits or @ and their labels, written out by rule."""
-    rows: list[list[tuple[str, str]]] = []
-    for k in range(24):
+#: Words of the labelled sentences: what comes before a number to ring, and before other numbers.
+CALLING = ("call", "tel", "tel.", "telephone", "phone", "mobile", "cell", "fax", "ring", "dial", "text me", "reach me at", "call me on", "phone number", "my number is", "contact", "hotline", "whatsapp", "phone is", "or call")
+COUNTING = ("isbn", "order", "order number", "invoice", "ref", "reference", "serial", "serial number", "part number", "tracking", "ticket", "case", "scores", "sizes", "lot", "item", "sku", "id", "account", "code", "article", "batch", "version", "page", "numbers", "total of", "about", "the", "draws", "in")
+CARRYING = ("card", "card number", "visa", "pay with", "credit card", "charged to")
+AFTER = ("", "now", "today", "please", "and", "for", "or", "was", "is")
+
+
+def _labelled() -> list[tuple[list[str], list[tuple[str, str]], str]]:
+    """The labelled table: words before, a run of words with digits or @ and their labels, the word
+    after. Sentences are written out by rule."""
+    rows: list[tuple[list[str], list[tuple[str, str]], str]] = []
+
+    def add(before: str, number: str, label: str, after: str = "") -> None:
+        rows.append((before.split(), [(w, label) for w in number.split()], after))
+
+    for k in range(10):
         d = [str((k * 7919 + j * 104729 + 12345) % 10**9 + 10**8) for j in range(4)]
         a, b, c, e = d[0][:3], d[1][:3], d[2][:4], d[3][:4]
+        calling = [CALLING[(k + j * 7) % len(CALLING)] for j in range(4)]
+        counting = [COUNTING[(k + j * 11) % len(COUNTING)] for j in range(6)]
+        after = [AFTER[(k + j * 2) % len(AFTER)] for j in range(6)]
+        # numbers that look like ones to ring wherever they are
         for phone in (f"{a}-{b}-{c}", f"({a}) {b}-{c}", f"{a}.{b}.{c}", f"+{k % 9 + 1} ({a}) {b}-{c}", f"+{k % 9 + 1} {a} {b} {c}", f"1-{a}-{b}-{c}", f"({a}){b}-{c}", f"+{k % 9 + 1}-{a}-{b}-{c}"):
-            rows.append([(w, "phone") for w in phone.split()])
-            rows.append([(w + ",", "phone") if w == phone.split()[-1] else (w, "phone") for w in phone.split()])
-        rows.append([(f"{a}{b}{c}{e}{b}"[:16], "card")])
-        rows.append([(w, "card") for w in (c, e, c, e)])
-        rows.append([(f"{c}-{e}-{c}-{e}", "card")])
-        rows.append([(f"{int(a) % 256}.{int(b) % 256}.{k}.{k + 9}", "ip")])
-        rows.append([(f"user.{k}@mail{k}.example.com", "email")])
-        rows.append([(f"<ab{k}@example.org>,", "email")])
+            rows.append(([], [(w, "phone") for w in phone.split()], ""))
+            rows.append(([], [(w + ",", "phone") if w == phone.split()[-1] else (w, "phone") for w in phone.split()], ""))
+            add(calling[k % 4], phone, "phone", after[0])
+        # numbers that only the words around tell apart
+        plain = (f"0{a[:2]} {c} {e}", f"0{c} {a}{b}", f"0{k % 9 + 1} {a[:2]} {b[:2]} {c[:2]} {e[:2]}", f"0{c} {a} {b}", f"{a}{b}{c}", f"0{a}{b}{c}", f"{a} {b} {c}", f"{a[:2]} {b[:2]} {c[:2]} {e[:2]}", f"{a} {c}{e}")
+        for j, number in enumerate(plain):
+            add(calling[j % 4], number, "phone", after[j % 6])
+            add(calling[(j + 1) % 4] + ":", number + ",", "phone")
+            add(counting[j % 6], number, "other", after[(j + 3) % 6])
+            add(counting[(j + 2) % 6] + ":", number + ".", "other")
+            add(["we counted", "there were", "with", "of", "", "a list of"][(j + k) % 6], number, "other", after[j % 6])
+        add("isbn", f"978-{k % 10}-{a[:2]}-{b}{c[:3]}-{k % 10}", "other")
+        add("isbn", f"{k % 10}-{a}-{b}{c[:2]}-{k % 10}", "other", "in")
+        add("isbn:", f"979-{k % 10}-{c}-{e}-{k % 9}", "other")
+        add(counting[0], f"{a}-{b}-{c}-{k % 10}", "other")
+        add("born", f"19{k + 60}-0{k % 9 + 1}-1{k % 9}", "other")
+        add(calling[1], f"{k + 1}", "other", "times")
+        add(calling[2], f"{k + 1} {k % 7 + 2}", "other", "days")
+        rows.append(([], [(f"{a}{b}{c}{e}{b}"[:16], "card")], ""))
+        rows.append(([], [(f"{a}{b}{c}{e}{b}"[:16], "card"), (f"{c}{e}{e}{c}", "card")], ""))
+        rows.append(([], [(w, "card") for w in (c, e, c, e)], ""))
+        rows.append(([], [(f"{c}-{e}-{c}-{e}", "card")], ""))
+        for j, number in enumerate((f"{c}{e}{e}{c}", f"{c} {e} {c} {e}", f"{c}-{e}-{c}-{e}")):
+            add(CARRYING[(k + j) % len(CARRYING)], number, "card", after[j])
+        rows.append(([], [(f"{int(a) % 256}.{int(b) % 256}.{k}.{k + 9}", "ip")], ""))
+        rows.append(([], [(f"user.{k}@mail{k}.example.com", "email")], ""))
+        rows.append(([], [(f"<ab{k}@example.org>,", "email")], ""))
         # what isn't personal data
-        for other in (f"{k}.{k + 1}.", f"{a}", f"{c}", f"20{k:02d}-0{k % 9 + 1}-1{k % 9}", f"1{k % 9}:3{k % 9}", f"{a},{b}", f"{a}.{c[:2]}", f"{a}{b}{c}", f"v{k}.{k + 1}.{k + 2}", f"{k}%", f"{a}x{b}", f"AKIA{a}AB{b}CD", f"password={a}ab{b}cd{c}", f"{a}/{b}", f"{k}th", f"@{'abcdefgh'[k % 8]}b", f"{a}-{b}", f"#{c}", f"{c}-{e}", f"0x{a}f{b}", f"{a}ab{b}cd{c}ef{e}0a"):
-            rows.append([(other, "other")])
-        rows.append([(f"{a}", "other"), (f"{b}", "other")])
-        rows.append([(f"{c}", "other"), (f"{a},{b}", "other"), (f"{k}", "other")])
+        for j, other in enumerate((f"{k}.{k + 1}.", f"{a}", f"{c}", f"20{k:02d}-0{k % 9 + 1}-1{k % 9}", f"1{k % 9}:3{k % 9}", f"{a},{b}", f"{a}.{c[:2]}", f"{a}{b}{c}", f"v{k}.{k + 1}.{k + 2}", f"{k}%", f"{a}x{b}", f"AKIA{a}AB{b}CD", f"password={a}ab{b}cd{c}", f"{a}/{b}", f"{k}th", f"@{'abcdefgh'[k % 8]}b", f"{a}-{b}", f"#{c}", f"{c}-{e}", f"0x{a}f{b}", f"{a}ab{b}cd{c}ef{e}0a")):
+            rows.append(([], [(other, "other")], ""))
+            add(counting[j % 6], other, "other", after[j % 6])
+        rows.append(([], [(f"{a}", "other"), (f"{b}", "other")], ""))
+        rows.append(([], [(f"{c}", "other"), (f"{a},{b}", "other"), (f"{k}", "other")], ""))
     return rows
 
 
@@ -129,29 +168,51 @@ def pieces(text: str, start: int, end: int) -> list[tuple[int, int]]:
     return out
 
 
-def features(shapes: list[str], k: int) -> list[str]:
+BEFORE = 4  # words before a run that are its features
+CONTEXT = 24  # characters that a word has at most that is a feature; the table's are shorter
+
+
+def plain_word(word: str) -> str:
+    return word.strip(TRIM + ".()-").lower()
+
+
+Run = tuple[list[str], list[str], str]  # plain words before, shapes, plain word after
+
+
+def features(run: Run, k: int) -> list[str]:
+    """Of a word of a run: its shape and its neighbours', what it is made of, and the words around the run."""
+    before, shapes, after = run
     s = shapes[k]
     n = sum(c == "9" for c in s)
-    return [f"s:{s}", f"p:{shapes[k - 1] if k else '^'}|{s}", f"n:{s}|{shapes[k + 1] if k + 1 < len(shapes) else '$'}", f"d:{min(n, 12)}", f"@:{'@' in s}", f"+:{s[:1] == '+'}", "c:" + "".join(sorted(set(s) - {"9", "a"}))]
+    own = [f"s:{s}", f"p:{shapes[k - 1] if k else '^'}|{s}", f"n:{s}|{shapes[k + 1] if k + 1 < len(shapes) else '$'}", f"d:{min(n, 12)}", f"@:{'@' in s}", f"+:{s[:1] == '+'}", "c:" + "".join(sorted(set(s) - {"9", "a"}))]
+    near = dict.fromkeys(w for w in before[-BEFORE:] if w)
+    return own + [f"b:{w}" for w in near] + [f"l:{before[-1] if before else ''}", f"a:{after}", f"r:{len(shapes)}"]
+
+
+MOST_FEATURES = 7 + BEFORE + 3
 
 
 class ChainField:
     """Weights of a linear-chain conditional random field over the features above."""
 
-    def __init__(self, table: list[list[tuple[str, str]]], rounds: int = 120, rate: float = 0.3):
-        runs = [([shape(w) for w, _ in r], [LABELS.index(y) for _, y in r]) for r in table]
+    def __init__(self, table: list[tuple[list[str], list[tuple[str, str]], str]], rounds: int = 80, rate: float = 0.3):
+        runs = [(([plain_word(w) for w in before], [shape(w) for w, _ in r], plain_word(after)), [LABELS.index(y) for _, y in r]) for before, r, after in table]
         self.number: dict[str, int] = {}
-        coded = [[[self.number.setdefault(f, len(self.number)) for f in features(s, k)] for k in range(len(s))] for s, _ in runs]
+        coded = [[[self.number.setdefault(f, len(self.number)) for f in features(run, k)] for k in range(len(run[1]))] for run, _ in runs]
         n, k = len(self.number), len(LABELS)
-        self.emit, self.move, self.begin, self.end = np.zeros((n, k)), np.zeros((k, k)), np.zeros(k), np.zeros(k)
+        # the last row stands for no feature and stays zero
+        self.emit, self.move, self.begin, self.end = np.zeros((n + 1, k)), np.zeros((k, k)), np.zeros(k), np.zeros(k)
         long = max(map(len, coded), default=0)
-        ids = np.zeros((len(runs), long, 7), np.int64)
+        ids = np.full((len(runs), long, MOST_FEATURES), n)
         gold = np.zeros((len(runs), long), np.int64)
         size = np.array([len(c) for c in coded])
         for i, (c, (_, y)) in enumerate(zip(coded, runs, strict=True)):
-            ids[i, : len(c)], gold[i, : len(y)] = c, y
+            gold[i, : len(y)] = y
+            for t, f in enumerate(c):
+                ids[i, t, : len(f)] = f
         there = np.arange(long) < size[:, None]
         rows, last = np.arange(len(runs)), size - 1
+        flat = np.concatenate([np.repeat(ids.reshape(-1, MOST_FEATURES), k, axis=0) * k + np.tile(np.arange(k), len(runs) * long)[:, None]]).ravel()
         sq = [np.full_like(a, 1e-3) for a in (self.emit, self.move, self.begin, self.end)]
         for _ in range(rounds):
             scores = self.emit[ids].sum(axis=2)
@@ -168,8 +229,8 @@ class ChainField:
             post = np.exp(forward + backward - total[:, None, None]) * there[:, :, None]
             want = np.eye(k)[gold] * there[:, :, None]
             diff = want - post
-            g_emit = np.zeros_like(self.emit)
-            np.add.at(g_emit, ids, diff[:, :, None, :])
+            g_emit = np.bincount(flat, weights=np.repeat(diff.reshape(-1), MOST_FEATURES), minlength=(n + 1) * k).reshape(n + 1, k)
+            g_emit[n] = 0
             g_move = np.zeros_like(self.move)
             for t in range(1, long):
                 pair = np.exp(forward[:, t - 1, :, None] + self.move + (scores[:, t] + backward[:, t])[:, None, :] - total[:, None, None]) * there[:, t, None, None]
@@ -180,24 +241,24 @@ class ChainField:
                 s += g * g
                 a += rate * g / np.sqrt(s)
 
-    def scores(self, shapes: list[str]) -> np.ndarray:
-        out = np.zeros((len(shapes), len(LABELS)))
-        for k in range(len(shapes)):
-            ids = [i for f in features(shapes, k) if (i := self.number.get(f)) is not None]
+    def scores(self, run: Run) -> np.ndarray:
+        out = np.zeros((len(run[1]), len(LABELS)))
+        for k in range(len(run[1])):
+            ids = [i for f in features(run, k) if (i := self.number.get(f)) is not None]
             out[k] = self.emit[ids].sum(axis=0)
         return out
 
-    def viterbi(self, runs: list[list[str]]) -> list[np.ndarray]:
-        """Best labels of each run of shapes; runs of like length are decoded together."""
+    def viterbi(self, runs: list[Run]) -> list[np.ndarray]:
+        """Best labels of each run; runs of like length are decoded together."""
         out: list[np.ndarray | None] = [None] * len(runs)
-        order = sorted(range(len(runs)), key=lambda i: len(runs[i]))
+        order = sorted(range(len(runs)), key=lambda i: len(runs[i][1]))
         a = 0
         while a < len(order):
-            longest, b = len(runs[order[a]]), a + 1
-            while b < len(order) and len(runs[order[b]]) <= 1.25 * longest and (b - a) * len(runs[order[b]]) < 200_000:
+            longest, b = len(runs[order[a]][1]), a + 1
+            while b < len(order) and len(runs[order[b]][1]) <= 1.25 * longest and (b - a) * len(runs[order[b]][1]) < 200_000:
                 b += 1
             part = order[a:b]
-            size = np.array([len(runs[i]) for i in part])
+            size = np.array([len(runs[i][1]) for i in part])
             s = np.zeros((len(part), size.max(), len(LABELS)))
             for k, i in enumerate(part):
                 s[k, : size[k]] = self.scores(runs[i])
@@ -227,7 +288,7 @@ def plausible(kind: str, s: str) -> bool:
     """What a span that the field adds must have."""
     n = sum("0" <= c <= "9" for c in s)
     if kind == "phone":
-        return 7 <= n <= 15 and any(c in s for c in "-(). ")
+        return 7 <= n <= 15 and any(c in s for c in "-(). ") or 9 <= n <= 12 and len(s) == n
     if kind == "card":
         return 13 <= n <= 19 and luhn("".join(c for c in s if "0" <= c <= "9"))
     if kind == "ip":
@@ -301,17 +362,27 @@ def _spans(field: ChainField):
             starts[r], reach[r] = [a for a, _ in at], list(accumulate((b for _, b in at), max))
         at = [(r, int(chars[s] - chars[off[r]]), int(chars[e] - chars[off[r]])) for r, s, e in zip(w.row[hit].tolist(), w.start[hit].tolist(), w.end[hit].tolist(), strict=True)]
         runs: list[list[tuple[int, int, int]]] = []
+        around: list[tuple[list[str], str]] = []
+
+        def plain(k: int) -> str:
+            return plain_word(buf[w.start[k] : w.end[k]].tobytes().decode()) if w.end[k] - w.start[k] <= CONTEXT else ""
+
         for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(at)], strict=True):
             open_run = False
+            first, final = int(hit[a]), int(hit[b - 1])
+            low = max(first - BEFORE, int(np.searchsorted(w.row, w.row[first])))
+            before = [plain(k) for k in range(low, first)]
+            after = plain(final + 1) if final + 1 < len(w.row) and w.row[final + 1] == w.row[final] else ""
             for r, start, end in at[a:b]:
                 for x, y in pieces(texts[r], start, end) if end - start > LONG else ((start, end),):
                     if open_run and (end - start <= LONG and not long or not any(c.isalnum() for c in texts[r][runs[-1][-1][2] : x])):
                         runs[-1].append((r, x, y))
                     else:
                         runs.append([(r, x, y)])
+                        around.append((before, after))
                     open_run = True
                 long = end - start > LONG
-        labels = field.viterbi([[shape(texts[r][a:b]) for r, a, b in run] for run in runs])
+        labels = field.viterbi([(before, [shape(texts[r][a:b]) for r, a, b in run], after) for run, (before, after) in zip(runs, around, strict=True)])
         for run, label in zip(runs, labels, strict=True):
             k = 0
             r = run[0][0]
