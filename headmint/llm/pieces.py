@@ -6,14 +6,18 @@ text that is indexed:
 
 1. a suffix array of the joined units, sorted as deep as the longest piece by doubling;
 2. every piece's range of occurrences, by binary search for all pieces at once;
-3. each occurrence is an edge (start, end, piece), put in order of position;
-4. relaxation: units start as single characters; in each round every unit joins the pair
-   whose edge has the best score, the leftmost of equals, until no pair is an edge. This is
-   the merge order of the public BPE models. Very long units use a heap instead.
-
-What has no piece falls back to bytes. Models with byte-pair merges and no normalisation
-are supported; the vocabulary is read on the driver and sent with the task (its size is
-the model's, not the data's).
+3. each occurrence is an edge (start, length, piece); only these are kept, sorted by position.
+   Where no edge crosses a place, no token does, so units are cut there into segments;
+4. relaxation over the sorted edges: segments start as single characters; in each round every
+   segment joins the pair whose edge has the best score, the leftmost of equals, until no pair
+   is an edge. This is the merge order of the public BPE models, whose result shortest paths
+   wouldn't give. Long segments do the same with a heap.
+
+A unit of more than CHUNK_CHARS is cut at places that no edge crosses before it is indexed, so
+memory is bounded by the chunk, unless a text has an unbroken chain of pieces that long. What
+has no piece falls back to bytes. Models with byte-pair merges and no normalisation are
+supported; the vocabulary is read on the driver and sent with the task (its size is the
+model's, not the data's).
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ from headmint.llm.common import hash_ranges, text_slices
 BLANK = "▁"
 SLICE = 3 << 20
 CHUNK_CHARS = 1 << 19  # of distinct units indexed at once
-LONG_UNIT = 192  # characters from which a unit is merged with a heap
+LONG_SEGMENT = 192  # characters from which a segment is merged with a heap: the same merges, one at a time
 BPE = 2  # fixed value of the model format
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6  # fixed values of the model format
 
@@ -214,44 +218,73 @@ class SuffixArray:
 # ------------------------------------------------------------------ encoding
 
 
-def edges(text: np.ndarray, t: dict) -> np.ndarray:
-    """piece[start, length - 1], or the number of pieces where there is none: all edges by position."""
+@dataclass
+class Edges:
+    """Occurrences of pieces in a text, sorted by start and length."""
+
+    key: np.ndarray  # start * longest + length - 1
+    piece: np.ndarray
+    longest: int
+
+    def find(self, start: np.ndarray, size: np.ndarray, none: int) -> np.ndarray:
+        """The piece of each stretch, or none."""
+        if not len(self.key):
+            return np.full(len(start), none)
+        want = start * self.longest + (size - 1)
+        at = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
+        return np.where(self.key[at] == want, self.piece[at], none)
+
+    def crossed(self, n: int) -> np.ndarray:
+        """Whether some edge goes across the place before each character, and at the end."""
+        start, size = self.key // self.longest, self.key % self.longest + 1
+        change = np.bincount(start + 1, minlength=n + 2)[: n + 2] - np.bincount(start + size, minlength=n + 2)[: n + 2]
+        return np.cumsum(change)[: n + 1] > 0
+
+
+def edges(text: np.ndarray, t: dict) -> Edges:
+    """All edges by position."""
     index = SuffixArray(text, t["longest"])
     low, high = index.ranges(t["chars"], t["sizes"])
     n = high - low
     at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - low, n)
-    none = len(t["rank"]) - 1
-    out = np.full((len(text), t["longest"]), none, np.uint16 if none < 1 << 16 else np.int32)
-    out[index.order[at], np.repeat(t["sizes"] - 1, n)] = np.repeat(t["ids"], n)
-    return out
+    key = index.order[at] * t["longest"] + np.repeat(t["sizes"] - 1, n)
+    order = np.argsort(key)
+    return Edges(key[order], np.repeat(t["ids"], n)[order], t["longest"])
 
 
-def relax(table: np.ndarray, start: np.ndarray, unit: np.ndarray, rank: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def relax(e: Edges, start: np.ndarray, unit: np.ndarray, rank: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(unit, start, length) of the symbols that are left, in order, from single characters."""
-    longest = table.shape[1]
     done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     size = np.ones(len(start), np.int64)
     worst = np.iinfo(np.int32).max
+
+    def ranks(k: np.ndarray) -> np.ndarray:
+        """Of symbols k joined with the next, worst where they can't be."""
+        out = np.full(len(k), worst, np.int32)
+        n = size[k] + size[np.minimum(k + 1, len(size) - 1)]
+        can = (k + 1 < len(size)) & (unit[np.minimum(k + 1, len(size) - 1)] == unit[k]) & (n <= e.longest)
+        out[can] = rank[e.find(start[k[can]], n[can], none)]
+        return out
+
+    r = ranks(np.arange(len(start)))
     while len(start):
-        n = np.zeros(len(start), np.int64)
-        n[:-1] = size[:-1] + size[1:]
-        pair = np.zeros(len(start), bool)
-        pair[:-1] = (unit[1:] == unit[:-1]) & (n[:-1] <= longest)
-        r = np.full(len(start), worst, np.int32)
-        r[pair] = rank[table[start[pair], n[pair] - 1]]
         begin = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
         best = np.minimum.reduceat(r, begin)
         count = np.diff(np.append(begin, len(start)))
-        live = best < worst
-        over = np.repeat(~live, count)
+        over = np.repeat(best == worst, count)
         if over.any():
             done.append((unit[over], start[over], size[over]))
         hit = np.flatnonzero((r == np.repeat(best, count)) & ~over)
         first = hit[np.concatenate([[True], unit[hit[1:]] != unit[hit[:-1]]])] if len(hit) else hit
-        size[first] = n[first]
+        size[first] += size[first + 1]
+        stale = np.zeros(len(start), bool)
+        stale[first] = True
+        stale[np.maximum(first - 1, 0)] = True
         keep = ~over
         keep[first + 1] = False
-        start, unit, size = start[keep], unit[keep], size[keep]
+        start, unit, size, r, stale = start[keep], unit[keep], size[keep], r[keep], stale[keep]
+        k = np.flatnonzero(stale)
+        r[k] = ranks(k)
     if not done:
         return unit, start, size
     unit, start, size = (np.concatenate(x) for x in zip(*done, strict=True))
@@ -259,9 +292,10 @@ def relax(table: np.ndarray, start: np.ndarray, unit: np.ndarray, rank: np.ndarr
     return unit[order], start[order], size[order]
 
 
-def merge_long(table: np.ndarray, begin: int, end: int, rank: np.ndarray) -> tuple[list[int], list[int]]:
-    """The same for one long unit, with a heap of pairs."""
-    longest, worst = table.shape[1], np.iinfo(np.int32).max
+def merge_long(e: Edges, begin: int, end: int, rank: np.ndarray) -> tuple[list[int], list[int]]:
+    """The same for one long segment, with a heap of pairs."""
+    a, b = np.searchsorted(e.key, [begin * e.longest, end * e.longest])
+    known = dict(zip((e.key[a:b] - begin * e.longest).tolist(), rank[e.piece[a:b]].tolist(), strict=True))
     size = [1] * (end - begin)
     after = [*range(1, end - begin), -1]
     before = [-1, *range(end - begin - 1)]
@@ -269,7 +303,7 @@ def merge_long(table: np.ndarray, begin: int, end: int, rank: np.ndarray) -> tup
 
     def offer(a: int) -> None:
         b = after[a]
-        if b >= 0 and (n := size[a] + size[b]) <= longest and (r := int(rank[table[begin + a, n - 1]])) < worst:
+        if b >= 0 and (n := size[a] + size[b]) <= e.longest and (r := known.get(a * e.longest + n - 1)) is not None:
             heapq.heappush(heap, (r, a, size[a], size[b]))
 
     for a in range(end - begin):
@@ -290,6 +324,23 @@ def merge_long(table: np.ndarray, begin: int, end: int, rank: np.ndarray) -> tup
     return [begin + a for a in left], [size[a] for a in left]
 
 
+def cut_long(unit: bytes, t: dict) -> list[int]:
+    """Places in bytes where a long unit can be cut, as no edge crosses them; about CHUNK_CHARS apart."""
+    codes = t["code"][np.frombuffer(unit.decode().encode("utf-32-le"), np.uint32)]
+    out, at, width = [], 0, CHUNK_CHARS
+    while len(codes) - at > width:
+        crossed = edges(codes[at : at + width + t["longest"]], t).crossed(width)
+        free = np.flatnonzero(~crossed[1:]) + 1
+        if len(free):
+            at += int(free[-1])
+            out.append(at)
+            width = CHUNK_CHARS
+        else:
+            width *= 2
+    lead = np.flatnonzero((np.frombuffer(unit, np.uint8) & 0xC0) != 0x80)
+    return lead[out].tolist()
+
+
 def encode_units(units: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """(ids, end of each unit's ids) for distinct units."""
     t = v.tables()
@@ -299,20 +350,22 @@ def encode_units(units: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndar
     begin = np.cumsum(sizes + 1) - sizes - 1
     text = t["code"][codes].copy()
     text[(begin + sizes)[:-1]] = 0
-    unit = np.repeat(np.arange(len(units)), sizes)
-    at = np.arange(len(unit)) - np.repeat(np.cumsum(sizes) - sizes - begin, sizes)
-    table = edges(text, t)
-    long = np.flatnonzero(sizes > LONG_UNIT)
-    short = ~np.isin(unit, long) if len(long) else slice(None)
-    u, s, n = relax(table, at[short], unit[short], t["rank"], none)
-    if len(long):
-        more = [(k, *merge_long(table, int(begin[k]), int(begin[k] + sizes[k]), t["rank"])) for k in long.tolist()]
-        u = np.concatenate([u, *(np.full(len(a), k) for k, a, _ in more)])
-        s = np.concatenate([s, *(np.array(a, np.int64) for _, a, _ in more)])
-        n = np.concatenate([n, *(np.array(b, np.int64) for _, _, b in more)])
+    at = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes - begin, sizes)
+    e = edges(text, t)
+    # segments: no edge crosses their borders, and none crosses a unit's
+    segment = np.cumsum(~e.crossed(len(text))[:-1])[at]
+    first = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))[: len(segment)]
+    length = np.diff(np.append(first, len(segment)))
+    short = np.repeat(length <= LONG_SEGMENT, length)
+    _, s, n = relax(e, at[short], segment[short], t["rank"], none)
+    if not short.all():
+        more = [merge_long(e, int(at[f]), int(at[f] + k), t["rank"]) for f, k in zip(first[length > LONG_SEGMENT].tolist(), length[length > LONG_SEGMENT].tolist(), strict=True)]
+        s = np.concatenate([s, *(np.array(a, np.int64) for a, _ in more)])
+        n = np.concatenate([n, *(np.array(b, np.int64) for _, b in more)])
         order = np.argsort(s, kind="stable")
-        u, s, n = u[order], s[order], n[order]
-    ids = table[s, n - 1].astype(np.int32)
+        s, n = s[order], n[order]
+    u = np.searchsorted(begin, s, side="right") - 1
+    ids = e.find(s, n, none).astype(np.int32)
     lost = ids == none  # a character that is no piece: its bytes, or the unknown piece
     if lost.any():
         c = codes[s[lost]].astype(np.int64)
@@ -353,8 +406,11 @@ def encode_slice(buf: np.ndarray, off: np.ndarray, v: Vocabulary) -> tuple[np.nd
     start[off[:-1][some]] = True
     s = np.flatnonzero(start)
     e = np.append(s[1:], len(buf))
-    _, pick, inv = np.unique(hash_ranges(buf, s, e), return_index=True, return_inverse=True)
     raw = buf.tobytes()
+    if cuts := [s[k] + np.array(cut_long(raw[s[k] : e[k]], t), np.int64) for k in np.flatnonzero(e - s > CHUNK_CHARS).tolist()]:
+        s = np.sort(np.concatenate([s, *cuts]))
+        e = np.append(s[1:], len(buf))
+    _, pick, inv = np.unique(hash_ranges(buf, s, e), return_index=True, return_inverse=True)
     units = [raw[a:b] for a, b in zip(s[pick].tolist(), e[pick].tolist(), strict=True)]
     ids, ends, a, base = [], [], 0, 0
     total = np.cumsum([len(u) + 1 for u in units])
