@@ -10,9 +10,10 @@ of which moves numbers in blocks:
    its sets that hold each; nothing else, so a shingle costs the same however many ranges there
    are, and one that all sets share arrives once a group. The range answers in the same order
    with document frequencies. A set that links to another shares ceil(threshold * size)
-   shingles with it, so one with fewer shared shingles leaves. By rising frequency, the first
-   size - ceil(threshold * size) + 1 shingles of a set form its prefix, and sets that link
-   have a prefix shingle in common.
+   shingles with it, so one with more unshared ones than the rest leaves. First half the hash
+   space is asked for all sets, which is enough to see nearly all of them leave; then all of it
+   for those that stay. By rising frequency, the first size - ceil(threshold * size) + 1
+   shingles of a set form its prefix, and sets that link have a prefix shingle in common.
 3. Neighbourhoods. Sets of a prefix shingle's list are linked to the first of their size
    class, and classes next to each other by their firsts (a list of n gives fewer than 2 n
    edges, not n * n pairs, and no list is gathered); connected components hold all links.
@@ -31,7 +32,8 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 from itertools import count, groupby
 
 import numpy as np
@@ -43,7 +45,7 @@ from pyspark.sql import functions as F
 from headmint.llm.common import lower_ascii, mix, pack_varints, parts, runs, shared_dir, split_words, stored, text_slices, unpack_varints, windows
 from headmint.llm.components import components
 
-GROUP_BYTES = 12 << 20  # distinct text of a group
+GROUP_BYTES = 6 << 20  # distinct text of a group
 RANGE_BYTES = 12 << 20  # text whose shingles one reducer gets
 BLOCK_SETS = 256  # sets of a block of a neighbourhood
 BLOCK_SHINGLES = 4_000_000  # and their shingles
@@ -113,7 +115,10 @@ def distinct_texts(text: DataFrame, groups: int) -> DataFrame:
     return dealt.groupBy("part", "k1", "k2").agg(F.first("text").alias("text"))
 
 
-def group_sets(t: pa.Table, words_per: int) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+Group = tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]
+
+
+def sets_of_texts(t: pa.Table, words_per: int) -> Group:
     """A group in order of its keys; (row, shingle), sorted and distinct, and the sets' sizes."""
     t = t.sort_by([("k1", "ascending"), ("k2", "ascending")])
     rows, shingles, sizes = [], [], []
@@ -126,6 +131,17 @@ def group_sets(t: pa.Table, words_per: int) -> tuple[pa.Table, np.ndarray, np.nd
     return t, join(rows, np.int64), join(shingles, np.uint64), join(sizes, np.int64)
 
 
+def sets_that_stay(t: pa.Table) -> Group:
+    """The same of a group of sets that bring their shingles along."""
+    t = t.sort_by("set_key")
+    sh = _unpack(t.column("shingles").to_pylist())
+    return t, np.repeat(np.arange(len(sh)), [len(x) for x in sh]), np.concatenate([np.zeros(0, np.uint64), *sh]), t.column("n").to_numpy().astype(np.int64)
+
+
+def in_half(sh: np.ndarray) -> np.ndarray:
+    return sh < np.uint64(1 << 63)
+
+
 def _by_range(distinct: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of distinct shingles by hash range, and where each range begins."""
     to = ((distinct >> np.uint64(32)) % np.uint64(ranges)).astype(np.int32)
@@ -133,12 +149,12 @@ def _by_range(distinct: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray
     return order, np.searchsorted(to[order], np.arange(ranges + 1))
 
 
-def _held(words_per: int, ranges: int):
+def _held(read: Callable[[pa.Table], Group], ranges: int, half: bool):
     """Distinct shingles of a group by hash range, with the number of its sets that hold each."""
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        _, _, sh, _ = group_sets(t, words_per)
-        sh, sets = np.unique(sh, return_counts=True)
+        sh = read(t)[2]
+        sh, sets = np.unique(sh[in_half(sh)] if half else sh, return_counts=True)
         order, cut = _by_range(sh, ranges)
         sh, sets = sh[order], sets[order]
         data, ends = pack_varints(sets)
@@ -158,7 +174,8 @@ def _held(words_per: int, ranges: int):
 
 HELD_SCHEMA = "range int, part int, shingles binary, sets binary"
 ANSWER_SCHEMA = "part int, range int, df binary"
-SET_SCHEMA = "set_key bigint, k1 bigint, k2 bigint, n int, shingles binary, prefix binary"
+ALL_SCHEMA = "part int, set_key bigint, k1 bigint, k2 bigint, n int, shingles binary"
+SET_SCHEMA = "set_key bigint, n int, shingles binary, prefix binary"
 
 
 def _frequencies(t: pa.Table) -> pa.Table:
@@ -175,41 +192,64 @@ def _frequencies(t: pa.Table) -> pa.Table:
     return pa.table({"part": t.column("part"), "range": t.column("range"), "df": pa.array([data[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())})
 
 
-def _sets_of_group(words_per: int, ranges: int, num: int, den: int):
-    """All sets of a group; those that share enough with their shared shingles and their prefix."""
+def _answered(sh: np.ndarray, answers: pa.Table, ranges: int) -> np.ndarray:
+    """Document frequencies of a group's shingles, in any order, from the answers to _held."""
+    distinct, at = np.unique(sh, return_inverse=True)
+    order, cut = _by_range(distinct, ranges)
+    df = np.zeros(len(distinct), np.int64)
+    for r, x in zip(answers.column("range").to_pylist(), answers.column("df").to_pylist(), strict=True):
+        df[order[cut[r] : cut[r + 1]]] = unpack_varints(x)
+    return df[at]
+
+
+def _pieces(x: np.ndarray, count: np.ndarray, good: np.ndarray, most: np.ndarray | None = None) -> pa.Array:
+    """The runs of x of these lengths as bytes (most: of at most so many numbers each); null where not good."""
+    begin = np.cumsum(count) - count
+    size = count if most is None else np.minimum(count, most)
+    return pa.array([x[a : a + n].tobytes() if g else None for a, n, g in zip(begin.tolist(), size.tolist(), good.tolist(), strict=True)], pa.binary())
+
+
+def _after_half(read: Callable[[pa.Table], Group], ranges: int, num: int, den: int):
+    """All sets of a group; the shingles of those whose unshared ones leave room for a link."""
 
     def run(t: pa.Table, answers: pa.Table) -> pa.Table:
         part = t.column("part")[0].as_py() if t.num_rows else 0
-        t, row, sh, size = group_sets(t, words_per)
-        distinct, at = np.unique(sh, return_inverse=True)
-        order, cut = _by_range(distinct, ranges)
-        df = np.zeros(len(distinct), np.int64)
-        for r, x in zip(answers.column("range").to_pylist(), answers.column("df").to_pylist(), strict=True):
-            df[order[cut[r] : cut[r + 1]]] = unpack_varints(x)
-        df = df[at]
-        m = df > 1
-        row, sh, df = row[m], sh[m], df[m]
-        live = np.bincount(row, minlength=len(size))
-        good = (size > 0) & (live >= need(size, num, den))
-        ends = np.cumsum(live)
-        begin, prefix = ends - live, size - need(size, num, den) + 1 - (size - live)
-        order = np.lexsort((sh, df, row))
-        rare = sh[order]
-        piece = lambda x, a, n: [x[i : i + k].tobytes() if g else None for i, k, g in zip(a.tolist(), n.tolist(), good.tolist(), strict=True)]
+        t, row, sh, size = read(t)
+        m = in_half(sh)
+        alone = np.bincount(row[m][_answered(sh[m], answers, ranges) == 1], minlength=len(size))
+        stays = (size > 0) & (alone <= size - need(size, num, den))
         return pa.table(
             {
+                "part": pa.array(np.full(len(size), part), pa.int32()),
                 "set_key": pa.array((part << NODE_BITS) + np.arange(len(size))),
                 "k1": t.column("k1"),
                 "k2": t.column("k2"),
                 "n": pa.array(size, pa.int32()),
-                "shingles": pa.array(piece(sh, begin, live), pa.binary()),
-                "prefix": pa.array(piece(rare, begin, np.maximum(prefix, 0)), pa.binary()),
+                "shingles": _pieces(sh, size, stays),
             }
         )
 
     return run
 
 
+def _shared(ranges: int, num: int, den: int):
+    """Sets of a group that share enough with others that stay: their shared shingles and their prefix."""
+
+    def run(t: pa.Table, answers: pa.Table) -> pa.Table:
+        t, row, sh, size = sets_that_stay(t)
+        df = _answered(sh, answers, ranges)
+        m = df > 1
+        row, sh, df = row[m], sh[m], df[m]
+        live = np.bincount(row, minlength=len(size))
+        good = live >= need(size, num, den)
+        rare = sh[np.lexsort((sh, df, row))]
+        prefix = np.maximum(size - need(size, num, den) + 1 - (size - live), 0)
+        out = pa.table({"set_key": t.column("set_key"), "n": t.column("n"), "shingles": _pieces(sh, live, good), "prefix": _pieces(rare, live, good, prefix)})
+        return out.filter(pa.array(good))
+
+    return run
+
+
 def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         n = b.column(1).to_numpy()
@@ -429,14 +469,20 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     n = by_text.agg(F.sum("bytes")).first()[0] or 0
     groups, ranges = parts(spark, n, GROUP_BYTES), parts(spark, n, RANGE_BYTES)
     texts = distinct_texts(text.filter(wordy).select("k1", "k2", "text"), groups)
-    held = texts.groupBy("part").applyInArrow(_held(words_per, ranges), HELD_SCHEMA)
+    read = partial(sets_of_texts, words_per=words_per)
+    held = texts.groupBy("part").applyInArrow(_held(read, ranges, True), HELD_SCHEMA)
     answers = held.groupBy("range").applyInArrow(_frequencies, ANSWER_SCHEMA)
-    sets = texts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_sets_of_group(words_per, ranges, num, den), SET_SCHEMA)
+    sets = texts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_after_half(read, ranges, num, den), ALL_SCHEMA)
     sets = stored(sets, f"{folder}/sets")
-    comp = components(links(sets.filter("shingles IS NOT NULL").drop("k1", "k2"), folder, num, den, block_sets, block_shingles), f"{folder}/components")
+    stay = sets.filter("shingles IS NOT NULL").select("part", "set_key", "n", "shingles")
+    ranges = parts(spark, 8 * (stay.agg(F.sum("n")).first()[0] or 0), RANGE_BYTES)
+    held = stay.groupBy("part").applyInArrow(_held(sets_that_stay, ranges, False), HELD_SCHEMA)
+    answers = held.groupBy("range").applyInArrow(_frequencies, ANSWER_SCHEMA)
+    shared = stay.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_shared(ranges, num, den), SET_SCHEMA)
+    comp = components(links(stored(shared, f"{folder}/shared"), folder, num, den, block_sets, block_shingles), f"{folder}/components")
     # a text's documents are linked by being equal; then texts by components
     comp = comp.select(F.col("node").alias("set_key"), "component")
-    grouped = sets.drop("shingles", "prefix").join(comp, "set_key", "left").withColumn("component", F.coalesce("component", "set_key")).join(by_text, ["k1", "k2"])
+    grouped = sets.drop("part", "shingles").join(comp, "set_key", "left").withColumn("component", F.coalesce("component", "set_key")).join(by_text, ["k1", "k2"])
     least = grouped.groupBy("component").agg(F.min("low").alias("component_id"))
     of_text = grouped.join(least, "component").select("k1", "k2", F.col("n").cast("bigint").alias("n_shingles"), "component_id")
     found = named.filter("wordy").join(of_text, ["k1", "k2"]).select("doc_id", "n_shingles", "component_id")
