@@ -35,7 +35,7 @@ SHARD_ROWS = 8192
 BLOCK_QUERIES = 4096
 SAMPLE_ROWS = 16_384
 MAX_CELLS = 1024
-LEAF = 32
+LEAF = 128
 MOST = (1 << 63) - 1  # scores beyond a long are shown as this, after ranking by the exact ones
 EXACT, LONG = float(1 << 53), float(1 << 62)  # up to here products of doubles, of 64-bit integers, are exact
 
