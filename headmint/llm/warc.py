@@ -82,12 +82,14 @@ class Bundle:
         self.at = 0
         self.held: list[bytes] = []
         self.names: list[int | None] = []
+        self.size = 0  # of what is held
         self.done: list[tuple] = []
 
     def add(self, page_id: int | None, data: bytes) -> None:
         self.held.append(data)
         self.names.append(page_id)
-        if sum(map(len, self.held)) >= FRAME_BYTES:
+        self.size += len(data)
+        if self.size >= FRAME_BYTES:
             self.close_frame()
 
     def close_frame(self) -> None:
@@ -102,7 +104,7 @@ class Bundle:
             offset += len(data)
         self.frames.append((len(frame), len(plain)))
         self.at += len(frame)
-        self.held, self.names = [], []
+        self.held, self.names, self.size = [], [], 0
 
     def close(self) -> None:
         self.close_frame()
@@ -170,9 +172,9 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     p = p.withColumn("html", F.coalesce("html", F.lit(b"")))
     digest = F.sha2("html", 256)
     # what is equal to a payload of a smaller id: digests and ids only
-    firsts = p.filter(F.octet_length("html") >= least).groupBy(digest.alias("digest")).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
-    small = p.filter(F.octet_length("html") >= least).select("page_id", digest.alias("digest"))
-    again = small.join(firsts, "digest").filter("first <> page_id or page_id is null and first is not null").select("page_id", "digest", "first").distinct()
+    known = stored(p.filter(F.octet_length("html") >= least).select("page_id", digest.alias("digest")), f"{folder}/digests")
+    firsts = known.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
+    again = known.join(firsts, "digest").filter("first <> page_id or page_id is null and first is not null").select("page_id", "digest", "first").distinct()
     again = stored(again, f"{folder}/revisits")
     met = p.withColumn("digest", digest).join(again.withColumnRenamed("page_id", "of").withColumnRenamed("digest", "d"), F.col("page_id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("d")), "left")
     rows = met.select("page_id", "url", "html", "digest", "first").mapInArrow(_write(f"{folder}/bundles", level), "page_id bigint, bundle string, frame_offset bigint, frame_size bigint, offset bigint, size bigint")
