@@ -87,6 +87,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     scan = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row_key"), words(F.col(text_col)).alias("w"))
     scan = scan.select("row", "id", "row_key", let(F.col("w"), lambda w: F.struct(F.size(w).cast("bigint").alias("n_words"), found(w).alias("c"))).alias("s"))
     rows = scan.select("row", "id", "row_key", F.col("s.n_words").alias("n_words"), F.explode_outer("s.c").alias("c")).select("row", "id", "row_key", "n_words", "c.*")
+    rows = stored(rows, f"{shared_dir(docs.sparkSession)}/candidates")  # a row's number stays what it is, whatever is run again
     met = rows.join(by_gram.withColumnRenamed("size", "of_size").withColumnRenamed("gram", "of_gram"), (F.col("gram") == F.col("of_gram")) & (F.col("size") == F.col("of_size")), "left")
     hit = F.when(F.col("of_gram").isNotNull(), F.struct("pos", "size"))
     by_row = met.groupBy("row").agg(F.first("id").alias("id"), F.first("row_key").alias("row_key"), F.first("n_words").alias("n_words"), F.collect_set(hit).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("items"))
