@@ -150,9 +150,10 @@ def held_out(id_col: Column) -> Column:
 def train_from(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 3000, sample_bytes: int = 1 << 16) -> Network:
     """Train on labelled rows that aren't held out: half of sample_rows for each label, the
     rows with the smallest hash of their id, with texts of at most sample_bytes bytes.
-    Rows with a null label, id or text aren't learned from. The share of label 1 among all
-    labelled rows sets the class weights."""
-    rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id"))).dropDuplicates(["id"])
+    Rows with a null label, id or text aren't learned from, nor are ids whose labels contradict
+    each other. The share of label 1 among all labelled ids sets the class weights."""
+    rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id")))
+    rows = rows.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("most")).filter("y = most").drop("most")
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.octet_length("text") <= sample_bytes)
     n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     # twice the rows needed: some of their texts are missing or too long
