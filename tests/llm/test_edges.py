@@ -343,11 +343,11 @@ def test_windows_that_agree_in_64_bits_stay(monkeypatch):
     texts = ["a b c", "d e f", "a b c", "x d e f"]
     bits = SimpleNamespace(value=[np.full(1 << 13, 255, np.uint8)] * substring_dedup.DEPTH)
     found = []
-    for k in range(0, 4, 2):  # a slice each: once within a slice, once across slices
-        b = pa.record_batch({"key": pa.array([k, k + 1]), "id": pa.array([k, k + 1]), "text": pa.array(texts[k : k + 2])})
-        found += substring_dedup._occurrences(3, 1 << 16, 1, bits)(iter([b]))
-    marks = substring_dedup._later(1)((), pa.Table.from_batches(found)).to_pylist()
-    assert [(np.frombuffer(m["keys"], np.int64).tolist(), np.frombuffer(m["words"], np.uint32).tolist()) for m in marks] == [([2, 3], [0, 1])]
+    for k in range(0, 4, 2):  # a group each: once within a group, once across groups
+        t = pa.table({"doc_id": pa.array([k, k + 1]), "text": pa.array(texts[k : k + 2]), "part": pa.array([k, k])})
+        found.append(substring_dedup._occurrences(3, 1 << 16, 1, bits)((pa.scalar(k),), t))
+    marks = substring_dedup._later(pa.concat_tables(found)).to_pylist()
+    assert [(m["part"], substring_dedup.ascending(m["places"]).tolist()) for m in marks] == [(2, [0, 4])]  # of document 2 the first word, of 3 the second
 
 
 def test_gaps_round_trip():
