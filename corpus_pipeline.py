@@ -20,29 +20,53 @@ from headmint.llm.secrets import redact_secrets
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that the quality network scores 0.7 or more."""
+    """Keep documents that the quality network scores 0.7 or more.
+
+    Null and empty texts are scored as empty. Repeated rows score alike, so all stay or go; a
+    null id is scored like any other. Without labels every score is 0.5 and all go. Extra
+    columns, whatever their names, are kept.
+    """
     network = train_from(docs, table(spark, sf_dir, "labels"))
     return docs.filter(score(network, F.col("text")) >= 0.7)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of smallest id of each group of linked documents."""
+    """Keep the document of smallest id of each group of linked documents.
+
+    Null and empty texts link with nothing and stay. Of repeated rows (equal id and text) one
+    stays; rows with a null id all stay, and don't make others go. Extra columns are kept.
+    """
     return one_of_each(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a window of a test item."""
+    """Drop documents that hold a window of a test item.
+
+    Null and empty texts hold none and stay, as all do where no item has words. Repeated rows
+    are judged alike; a null id is judged like any other. Extra columns are kept.
+    """
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace secrets in the texts; n_chars follows."""
+    """Replace secrets in the texts; n_chars, where there is such a column, follows.
+
+    A null text stays null and its n_chars becomes null; empty texts stay empty. All rows stay,
+    repeated ones and null ids too. Overlapping secrets are replaced as one. Other columns
+    are kept.
+    """
     out = redact_secrets(docs)
+    if "n_chars" not in docs.columns:
+        return out
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids of each document."""
+    """doc_id, n_tokens, ids of each document.
+
+    Null and empty texts have no ids and 0 tokens. All rows stay, repeated ones and null ids
+    too. Other columns are left out.
+    """
     return encode(docs.select("doc_id", "text"), MODEL).select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
 
 
