@@ -1,4 +1,4 @@
-"""Patterns and word lists that results depend on.
+"""Every pattern, word list and limit below is one that results depend on.
 
 Patterns are written so that Java and RE2 read them alike: SPACE stands for Unicode white
 space, \\z for the strict end of a text.

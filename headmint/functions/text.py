@@ -1,4 +1,5 @@
-"""Column functions for damaged header text. Each stays in generated code: no Python runs."""
+"""Column functions for damaged header text. All run in the JVM; a `let` is a lambda, which Spark
+interprets, so what it holds lies outside generated code."""
 
 from __future__ import annotations
 

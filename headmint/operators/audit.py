@@ -1,16 +1,19 @@
-"""Data-quality audit of message columns: all checks of a column family in one pass.
+"""Data-quality audit of message columns.
 
-Each check is a predicate; a family's predicates become one aggregation, turned into rows
-(column_name, issue, count). Checks with a count of zero are left out.
+Each check is a predicate. A column family's predicates become one aggregation, turned into
+rows (column_name, issue, count); checks with a count of zero are left out. The full report
+makes one aggregation of all families, and one pass finds all examples.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headmint.functions import patterns as P
-from headmint.functions.text import count_char, extract, or_empty, truncate
+from headmint.functions.text import count_char, extract, or_empty, staged, truncate
 
 
 def blank(c: Column) -> Column:
@@ -122,9 +125,46 @@ def smallest_values(messages: DataFrame, column: str = "account_email", limit: i
     return messages.select(column).dropna().distinct().orderBy(column).limit(limit)
 
 
+VARIANTS, VALUES = "same_mailbox_with_multiple_sender_variants", "distinct_non_null_values"
+
+
+def _row_checks() -> dict[str, dict[str, Column]]:
+    """Checks of whole values, by column."""
+    lists = {c: list_checks(F.col(c)) for c in P.RECIPIENT_ROLES}
+    return {"sender": sender_checks(F.col("sender")), **lists, "account_email": account_checks(F.col("account_email")), "all_participants": participant_checks(F.col("all_participants"))}
+
+
+def _with_items(messages: DataFrame) -> DataFrame:
+    """messages with the items of each JSON list, none for a list that is null or can't be read."""
+    items = {f"{c}_items": F.coalesce(F.from_json(c, "array<string>", {"mode": "PERMISSIVE"}), F.array().cast("array<string>")) for c in P.RECIPIENT_ROLES}
+    return staged(messages, items)
+
+
+def _fails(issue: str) -> Callable[[Column], Column]:
+    return lambda item: item_checks(item)[issue]
+
+
 def full_report(messages: DataFrame) -> DataFrame:
-    """The issue report of all audited columns: column_name, issue, count."""
-    out = audit_sender(messages)
+    """The issue report of all audited columns: column_name, issue, count. One aggregation of all
+    checks, items' included, and one of mailbox variants."""
+    totals = {(c, k): F.count_if(v) for c, checks in _row_checks().items() for k, v in checks.items()}
     for c in P.RECIPIENT_ROLES:
-        out = out.unionByName(audit_recipients(messages, c))
-    return out.unionByName(audit_account(messages)).unionByName(audit_participants(messages))
+        for k in item_checks(F.lit("")):
+            totals[c, k] = F.coalesce(F.sum(F.size(F.filter(f"{c}_items", _fails(k)))), F.lit(0))
+    totals["account_email", VALUES] = F.count_distinct("account_email")
+    row = _with_items(messages).agg(*(v.cast("bigint").alias(f"{c}:{k}") for (c, k), v in totals.items()))
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.lit(k).alias("issue"), F.col(f"`{c}:{k}`").alias("count")) for c, k in totals)))
+    variants = mailbox_variants(messages).agg(F.count(F.lit(1)).alias("count"))
+    out = row.select(pairs.alias("p")).select("p.*").unionByName(variants.select(F.lit("sender").alias("column_name"), F.lit(VARIANTS).alias("issue"), "count"))
+    return out.filter("count > 0")
+
+
+def all_examples(messages: DataFrame, limit: int = 3) -> DataFrame:
+    """(column_name, issue, position, example) of all checks, whole values and items, in one pass."""
+    hit = lambda column, issue, bad, value: F.when(bad & value.isNotNull(), F.struct(F.lit(column).alias("column_name"), F.lit(issue).alias("issue"), value.alias("value")))
+    rows = F.array(*(hit(c, k, v, F.col(c)) for c, checks in _row_checks().items() for k, v in checks.items()))
+    of_item = lambda c: lambda i: F.array(*(hit(c, k, v, i) for k, v in item_checks(i).items()))
+    items = [F.flatten(F.transform(f"{c}_items", of_item(c))) for c in P.RECIPIENT_ROLES]
+    found = _with_items(messages).select("id", F.explode(F.filter(F.concat(rows, *items), lambda x: x.isNotNull())).alias("hit")).select("id", "hit.*")
+    first = F.row_number().over(Window.partitionBy("column_name", "issue").orderBy("id", "value"))
+    return found.withColumn("position", first).filter(F.col("position") <= limit).select("column_name", "issue", "position", truncate(F.col("value")).alias("example"))

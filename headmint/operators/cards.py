@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from headmint.functions import patterns as P
 from headmint.functions.text import collapse_space, extract, replace_each
 
 CARD = r'(?s)<a\b[^>]*class="[^"]*\bemail-row\b[^"]*"[^>]*>.*?</a>'  # fixed: the card element's class
 HREF = r'href="/person/([^"]*)"'
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+ENTITIES = P.ENTITIES[:6]  # the named and numbered ones
 LINK = r'<a\b[^>]*\bhref="([^"]*)"[^>]*>([^<]*)</a>'
 
 

@@ -46,9 +46,11 @@ def key_stats(keyed: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def targets_with_rules(targets: DataFrame, rules: DataFrame) -> DataFrame:
     """Targets and their rules. A target without a rule set is an error, as is one with two."""
-    r = F.broadcast(rules)
-    met = targets.join(r.withColumn("found", F.lit(True)), "name", "left")
-    checked = F.when(F.col("found").isNull(), F.raise_error(F.concat(F.lit("no rules for target "), F.col("name")))).otherwise(F.col("found"))
+    counted = rules.withColumn("found", F.count(F.lit(1)).over(Window.partitionBy("name")))
+    met = targets.join(counted, "name", "left")
+    none = F.raise_error(F.concat(F.lit("no rules for target "), F.col("name"))).cast("boolean")
+    several = F.raise_error(F.concat(F.lit("several rule sets for target "), F.col("name"))).cast("boolean")
+    checked = F.when(F.col("found").isNull(), none).when(F.col("found") > 1, several).otherwise(F.lit(True))
     return met.filter(checked).drop("found")
 
 
@@ -58,11 +60,12 @@ def candidates(stats: DataFrame, targets: DataFrame) -> DataFrame:
     targets: name, include, exclude, prefer (arrays), min_evidence, cap, width. A key is a
     candidate if it holds an include token and no exclude token, and its evidence exceeds
     min_evidence or it is preferred. Preferred keys come first, in their order; then by len,
-    ties by key. The list of targets is short and is broadcast; keys are scanned once.
+    ties by key. Targets and keys meet by a nested loop, in which Spark broadcasts the side that it
+    measures as small; keys are scanned once.
     """
     key = F.col("search_key")
     preferred = F.array_position("prefer", key)
-    met = stats.join(F.broadcast(targets), contains_any(key, F.col("include")) & ~contains_any(key, F.col("exclude")))
+    met = stats.join(targets, contains_any(key, F.col("include")) & ~contains_any(key, F.col("exclude")))
     enough = (F.col("sender_count") + F.col("recipient_count") > F.col("min_evidence")) | (preferred > 0)
     order = Window.partitionBy("name").orderBy(F.when(preferred > 0, preferred).asc_nulls_last(), F.desc("len"), key)
     ranked = met.filter(enough).withColumn("position", F.row_number().over(order) - 1).filter(F.col("position") < F.col("cap"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from headmint.functions import address
 from headmint.functions import patterns as P
-from headmint.functions.similarity import letter_bound, sequence_ratio
+from headmint.functions.similarity import letter_bound, sequence_ratio, shared_letters_bound
 from headmint.functions.text import extract, staged
 
 ACCEPT, CERTAIN, MARGIN = 0.82, 0.995, 0.08  # fixed thresholds of the decision
@@ -36,8 +36,8 @@ def repair_seeds(parsed: DataFrame) -> DataFrame:
     itself in it, canonical), domain and compare (of the seed before a webmail domain)."""
     c, found, spot = F.col("candidate"), F.col("found"), F.col("spot")
     s = staged(suspicious_addresses(parsed), {"candidate": address.repair_candidate(F.col("normalized_value"))})
-    first = F.when(F.contains(c, F.lit("@")), extract(c, P.EMAIL))
-    s = staged(s, {"found": first, "spot": F.locate("\0", F.regexp_replace(c, P.EMAIL, "\0")), "host": extract(c, P.WEBMAIL_DOMAIN)})
+    s = staged(s, {"found": F.when(F.contains(c, F.lit("@")), extract(c, P.EMAIL)), "host": extract(c, P.WEBMAIL_DOMAIN)})
+    s = staged(s, {"spot": F.instr(c, found)})  # the leftmost match begins where its text is first found
     left, right = F.substring(c, spot - 1, F.lit(1)), F.substring(c, spot + F.char_length(found), F.lit(1))
     apart = ((spot == 1) | F.contains(F.lit(P.LEFT_OF_ADDRESS), left)) & ((right == "") | F.contains(F.lit(P.RIGHT_OF_ADDRESS), right))
     seed = F.regexp_replace(F.expr("substring_index(candidate, host, 1)"), "^[^a-z0-9]+", "")
@@ -55,8 +55,8 @@ def best_known(seeds: DataFrame, known: DataFrame) -> DataFrame:
 
     Seeds are distinct before they meet candidates, and meet only those of the same domain
     and of a length within the band: the join is on (domain, length), so one webmail host
-    spreads over many tasks. Of the rest, pairs whose lengths alone rule out any influence
-    on the decision are dropped before the similarity is computed.
+    spreads over many tasks. Of the rest, pairs whose lengths, or whose counts of each letter,
+    rule out any influence on the decision are dropped before the similarity is computed.
     """
     band = F.greatest(F.lit(2), F.floor(F.char_length("compare") / 3))
     n = F.char_length("compare")
@@ -64,7 +64,9 @@ def best_known(seeds: DataFrame, known: DataFrame) -> DataFrame:
     s = s.withColumn("length", F.explode(F.sequence(F.greatest(F.lit(0).cast("bigint"), n - band), n + band)))
     k = known.select("domain", F.col("compare").alias("known_form"), F.char_length("compare").cast("bigint").alias("length"), F.col("email").alias("known_email"), "len")
     pairs = s.join(k, ["domain", "length"]).filter(letter_bound(F.col("compare"), F.col("known_form")) >= ACCEPT - MARGIN)
-    forms = pairs.select("compare", "known_form").distinct().withColumn("score", sequence_ratio(F.col("compare"), F.col("known_form")))
+    forms = pairs.select("compare", "known_form").distinct()
+    forms = forms.filter(shared_letters_bound(F.col("compare"), F.col("known_form")) >= ACCEPT - MARGIN)
+    forms = forms.withColumn("score", sequence_ratio(F.col("compare"), F.col("known_form")))
     scored = pairs.join(forms, ["compare", "known_form"])
     order = Window.partitionBy("domain", "compare").orderBy(F.desc("score"), F.desc("len"), "known_email")
     top = scored.withColumns({"place": F.row_number().over(order), "second": F.coalesce(F.lead("score").over(order), F.lit(0.0))}).filter("place = 1")

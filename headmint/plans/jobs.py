@@ -30,27 +30,16 @@ def build_addresses(messages: DataFrame, folder: str, include_scalar_roles: bool
 
 
 def audit_report(messages: DataFrame) -> DataFrame:
-    """column_name, issue, count, examples of every audited column of the regular messages."""
+    """column_name, issue, count, examples of every audited column of the regular messages.
+
+    Four scans: all counts, all examples, mailbox variants (counted and shown), account values.
+    """
     m = addresses.keep_regular(messages)
-    shown = {
-        "sender": audit.examples(m, "sender", audit.sender_checks(F.col("sender"))),
-        "account_email": audit.examples(m, "account_email", audit.account_checks(F.col("account_email"))),
-        "all_participants": audit.examples(m, "all_participants", audit.participant_checks(F.col("all_participants"))),
-    }
-    for c in audit.P.RECIPIENT_ROLES:
-        rows = audit.examples(m, c, audit.list_checks(F.col(c)))
-        shown[c] = rows.unionByName(audit.examples(audit.recipient_items(m, c), "item", audit.item_checks(F.col("item"))))
-    one = lambda df, issue, value: df.agg(F.array_sort(F.collect_list(value)).alias("examples")).select(F.lit(issue).alias("issue"), "examples")
-    lists = None
-    for column, ex in shown.items():
-        few = ex.groupBy("issue").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "example"))), lambda x: x["example"]).alias("examples"))
-        if column == "sender":
-            few = few.unionByName(one(audit.top_variants(m), "same_mailbox_with_multiple_sender_variants", "mailbox"))
-        if column == "account_email":
-            few = few.unionByName(one(audit.smallest_values(m), "distinct_non_null_values", "account_email"))
-        few = few.withColumn("column_name", F.lit(column))
-        lists = few if lists is None else lists.unionByName(few)
-    out = audit.full_report(m).join(lists, ["column_name", "issue"], "left")
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("position", "example"))), lambda x: x["example"])  # a few of each issue
+    few = audit.all_examples(m).groupBy("column_name", "issue").agg(in_order.alias("examples"))
+    one = lambda df, column, issue, value: df.agg(F.array_sort(F.collect_list(value)).alias("examples")).select(F.lit(column).alias("column_name"), F.lit(issue).alias("issue"), "examples")
+    few = few.unionByName(one(audit.top_variants(m), "sender", audit.VARIANTS, "mailbox")).unionByName(one(audit.smallest_values(m), "account_email", audit.VALUES, "account_email"))
+    out = audit.full_report(m).join(few, ["column_name", "issue"], "left")
     return out.select("column_name", "issue", "count", F.coalesce("examples", F.array().cast("array<string>")).alias("examples")).orderBy("column_name", F.desc("count"), "issue")
 
 

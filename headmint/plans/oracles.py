@@ -5,7 +5,9 @@ from __future__ import annotations
 from functools import reduce
 
 from headmint.functions import patterns as P
+from headmint.operators.audit import VALUES, VARIANTS
 from headmint.operators.cards import ENTITIES, LINK
+from headmint.operators.repair import ACCEPT, CERTAIN, MARGIN
 from headmint.operators.subset import EPSILON, PLACES
 from headmint.plans.queries import FOCUS_ALIASES, FOCUS_EMAILS, TARGETS
 from headmint.sources.mail_view import SQL as MAIL
@@ -50,7 +52,7 @@ def misread(x: str) -> str:
 def display_name(x: str) -> str:
     edge = r"[,;:\-\t-\r\x{85}\p{Z}]+"
     bare = rewrite(rewrite(rewrite(f"coalesce({x}, '')", P.EMAIL, " "), r"""[<>\[\]\(\)"']""", " "), P.SPACE + "+", " ")
-    return f"nullif({rewrite(bare, '^' + edge + '|' + edge + chr(92) + 'z', '')}, '')"
+    return f"nullif({rewrite(bare, f'^{edge}|{edge}\\z', '')}, '')"
 
 
 def truncated(x: str) -> str:
@@ -70,7 +72,7 @@ def ctes(*names: str) -> str:
 
     for n in names:
         add(n)
-    return "WITH " + ", ".join(f"{n} AS ({TABLES[n]})" for n in order) + " "
+    return ("WITH RECURSIVE " if "block" in need else "WITH ") + ", ".join(f"{n} AS ({TABLES[n]})" for n in order) + " "
 
 
 def json_items(c: str) -> str:
@@ -99,6 +101,10 @@ _roles = _in(P.RECIPIENT_ROLES)
 _focus = f"(coalesce(email IN {_in(FOCUS_EMAILS)}, FALSE) OR coalesce(search_key IN {_in(FOCUS_ALIASES)}, FALSE))"
 _score = lambda sent, received: f"round(abs({sent} + {received} - total_emails) / CAST(total_emails AS DOUBLE) + abs(ln((CAST({sent} AS DOUBLE) / {received} + {EPSILON}) / ratio)), {PLACES})"
 
+#: The longest common block of x and y: its length k, the place of each end counted down (-1, -2, ...) so that the leftmost is largest.
+_common_prefix = "coalesce(list_max(list_filter(range(1, least(length(x) - i, length(y) - j) + 2), lambda k: substr(x, i, k) = substr(y, j, k))), 0)"
+_block = f"list_sort(flatten(list_transform(range(1, length(x) + 1), lambda i: list_transform(range(1, length(y) + 1), lambda j: {{'k': {_common_prefix}, 'i': -i, 'j': -j}}))), 'DESC')[1]"
+
 TABLES = {
     "mail": MAIL,
     "base": "SELECT * FROM mail WHERE is_promotional <> TRUE",
@@ -130,6 +136,16 @@ TABLES = {
     "seed1": f"SELECT *, {extract('candidate', P.EMAIL)} AS found, {extract('candidate', P.WEBMAIL_DOMAIN)} AS host FROM seed0",
     "seed2": "SELECT *, CASE WHEN found IS NOT NULL THEN instr(candidate, found) END AS spot FROM seed1",
     "seed3": f"SELECT *, CASE WHEN found IS NOT NULL AND (spot = 1 OR contains({_left}, substr(candidate, spot - 1, 1))) AND (spot + length(found) > length(candidate) OR contains({_right}, substr(candidate, spot + length(found), 1))) THEN {canonical('found')} END AS direct, {_one_seed} AS part FROM seed2",
+    "known": "SELECT email, CASE WHEN d = 'googlemail.com' THEN 'gmail.com' ELSE d END AS domain, regexp_replace(regexp_extract(email, '^([^@]+)@', 1), '[^a-z0-9]', '', 'g') AS compare, len FROM (SELECT email, lower(regexp_extract(email, '@(.+)$', 1)) AS d, count(*) AS len FROM parsed WHERE email IS NOT NULL GROUP BY 1) WHERE len >= 2",
+    "wanted": "SELECT *, CASE WHEN host = 'googlemail.com' THEN 'gmail.com' ELSE host END AS domain FROM seed WHERE seed IS NOT NULL",
+    "pair": "SELECT w.domain, seed, compare, email, len FROM (SELECT DISTINCT domain, seed FROM wanted) w JOIN known k ON k.domain = w.domain AND abs(length(compare) - length(seed)) <= greatest(2, length(seed) // 3)",
+    # longest common blocks, the leftmost first, then what lies left and right of each
+    "block": f"SELECT seed, compare, x, y, {_block} AS m FROM (SELECT DISTINCT seed, compare, seed AS x, compare AS y FROM pair) UNION ALL SELECT seed, compare, x, y, {_block} AS m FROM (SELECT seed, compare, part.x AS x, part.y AS y FROM (SELECT seed, compare, unnest([{{'x': substr(x, 1, -m.i - 1), 'y': substr(y, 1, -m.j - 1)}}, {{'x': substr(x, m.k - m.i), 'y': substr(y, m.k - m.j)}}]) AS part FROM block WHERE m.k > 0)) WHERE x <> '' AND y <> ''",
+    "alike": "SELECT seed, compare, 2.0::DOUBLE * sum(coalesce(m.k, 0)) / (length(seed) + length(compare)) AS score FROM block GROUP BY 1, 2",
+    "placed": "SELECT *, row_number() OVER (PARTITION BY domain, seed ORDER BY score DESC, len DESC, email) AS place, coalesce(lead(score) OVER (PARTITION BY domain, seed ORDER BY score DESC, len DESC, email), 0) AS second FROM pair JOIN alike USING (seed, compare)",
+    "taken": f"SELECT domain, seed, {canonical('email')} AS repaired FROM placed WHERE place = 1 AND score >= {ACCEPT} AND (score >= {CERTAIN} OR score - second >= {MARGIN})",
+    "repair": "SELECT id, address_role, address_index, min(repaired) AS repaired FROM (SELECT id, address_role, address_index, direct AS repaired FROM seed WHERE direct IS NOT NULL UNION ALL SELECT id, address_role, address_index, repaired FROM wanted JOIN taken USING (domain, seed)) GROUP BY 1, 2, 3",
+    "repaired": "SELECT p.id, p.address_role, p.address_index, p.normalized_value, coalesce(r.repaired, p.email) AS email FROM parsed p LEFT JOIN repair r ON r.id = p.id AND r.address_role = p.address_role AND r.address_index = p.address_index",
     "seed": "SELECT id, address_role, address_index, candidate, direct, CASE WHEN direct IS NULL AND length(part) >= 4 AND length(regexp_replace(part, '[^a-z0-9]', '', 'g')) >= 4 THEN regexp_replace(part, '[^a-z0-9]', '', 'g') END AS seed, host FROM seed3",
 }
 DEPENDS = {
@@ -137,6 +153,7 @@ DEPENDS = {
     "stats": ["exchange"], "ranked": ["stats", "goal"], "cand": ["ranked"], "hist": ["cand"], "subsets": ["cand"], "sums": ["subsets", "hist"], "best": ["sums"], "extra": ["best"],
     "oneside": ["extra"], "two": ["oneside"], "twobest": ["two"], "directed": ["twobest"], "final": ["directed"], "label": ["final"], "report": ["label"],
     "suspect": ["parsed"], "seed0": ["suspect"], "seed1": ["seed0"], "seed2": ["seed1"], "seed3": ["seed2"], "seed": ["seed3"],
+    "known": ["parsed"], "wanted": ["seed"], "pair": ["wanted", "known"], "block": ["pair"], "alike": ["block"], "placed": ["alike"], "taken": ["placed"], "repair": ["taken"], "repaired": ["repair"],
 }
 
 
@@ -178,11 +195,21 @@ def counted(source: str, column: str, checks: dict[str, str], extra: dict[str, s
 _variants = f"SELECT mailbox, count(DISTINCT sender) AS variant_count FROM (SELECT sender, lower({extract('sender', P.MAILBOX)}) AS mailbox FROM base) WHERE mailbox IS NOT NULL GROUP BY 1 HAVING count(DISTINCT sender) > 1"
 
 
-def _recipients(c: str) -> str:
+def list_checks(c: str) -> dict[str, str]:
     v = f"coalesce({c}, '')"
-    rows = {"null_rows": f"{c} IS NULL", "empty_list_rows": matches(v, P.EMPTY_LIST), "rows_containing_empty_string_items": matches(v, P.EMPTY_STRING_LIST)}
-    items = f"(SELECT unnest(from_json({c}, '[\"VARCHAR\"]')) AS item FROM base)"
-    return f"{ctes('base')}{counted('base', c, rows)} UNION ALL {counted(items, c, item_checks('item'))}"
+    return {"null_rows": f"{c} IS NULL", "empty_list_rows": matches(v, P.EMPTY_LIST), "rows_containing_empty_string_items": matches(v, P.EMPTY_STRING_LIST)}
+
+
+def _items(c: str) -> str:
+    return f"(SELECT id, unnest(from_json({c}, '[\"VARCHAR\"]')) AS item FROM base)"
+
+
+def _counts(c: str) -> str:
+    return f"{counted('base', c, list_checks(c))} UNION ALL {counted(_items(c), c, item_checks('item'))}"
+
+
+def _recipients(c: str) -> str:
+    return ctes("base") + _counts(c)
 
 
 def _examples(source: str, value: str, checks: dict[str, str]) -> str:
@@ -195,7 +222,7 @@ _participants = {
     "contains_raw_empty_list_tokens": matches("coalesce(all_participants, '')", P.EMPTY_TOKEN),
     "leading_or_trailing_whitespace": matches("coalesce(all_participants, '')", P.EDGE_SPACE),
     "whitespace_artifacts": matches("coalesce(all_participants, '')", P.STRAY_SPACE),
-    "lowercased_lossy_representation": f"NOT {matches(chr(99) + 'oalesce(all_participants, ' + s('') + ')', '[A-Z]')}",
+    "lowercased_lossy_representation": "NOT " + matches("coalesce(all_participants, '')", "[A-Z]"),
 }
 _account = {"missing_or_blank": f"(account_email IS NULL OR {_blank('account_email')})", "non_email_tokens": _no_at("account_email")}
 
@@ -211,6 +238,22 @@ def _plain(x: str) -> str:
 _mention = misread(extract(hash_as_at(unquote("lower(mention)")), P.EMAIL))
 _metric = lambda name, e: f"SELECT {s(name)} AS metric, round(coalesce(CAST({e} AS DOUBLE), 0), 6) AS value FROM report"
 
+_top_variants = f"SELECT * FROM ({_variants}) ORDER BY variant_count DESC, mailbox LIMIT 3"
+_values = "SELECT DISTINCT account_email FROM base WHERE account_email IS NOT NULL ORDER BY 1 LIMIT 5"
+_sender_counts = counted("base", "sender", sender_checks("sender")) + f" UNION ALL SELECT 'sender', '{VARIANTS}', count(*) FROM ({_variants}) HAVING count(*) > 0"
+_account_counts = counted("base", "account_email", _account, {VALUES: "count(DISTINCT account_email)"})
+_issues = " UNION ALL ".join(f"SELECT * FROM ({x})" for x in (_sender_counts, *map(_counts, P.RECIPIENT_ROLES), _account_counts, counted("base", "all_participants", _participants)))
+_shown = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, * FROM ({_examples(source, value, checks)})"
+    for c, source, value, checks in [
+        ("sender", "base", "sender", sender_checks("sender")),
+        *((c, "base", c, list_checks(c)) for c in P.RECIPIENT_ROLES),
+        *((c, _items(c), "item", item_checks("item")) for c in P.RECIPIENT_ROLES),
+        ("account_email", "base", "account_email", _account),
+        ("all_participants", "base", "all_participants", _participants),
+    ]
+)
+
 ORACLES: dict[str, str] = {
     "promo_filter_null": ctes("base") + "SELECT count(*) AS kept, count(sender) AS with_sender FROM base",
     "normalize_sender": ctes("base") + f"SELECT id, {normalize('sender')} AS sender_normalized FROM base",
@@ -222,19 +265,26 @@ ORACLES: dict[str, str] = {
     "sender_domains": ctes("parsed") + "SELECT DISTINCT regexp_extract(email, '@(.+)$', 1) AS domain FROM parsed WHERE email IS NOT NULL AND address_role = 'sender' ORDER BY 1",
     "parse_rates": ctes("parsed") + "SELECT address_role, count(*) AS addresses, count(email) AS with_email, count(display_name) AS with_name FROM parsed GROUP BY 1",
     "json_parse_failures": ctes("mail") + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE NOT json_valid(coalesce({c}, '[]'))) AS rows FROM mail" for c in P.RECIPIENT_ROLES),
-    "audit_sender": ctes("base") + counted("base", "sender", sender_checks("sender")) + f" UNION ALL SELECT 'sender', 'same_mailbox_with_multiple_sender_variants', count(*) FROM ({_variants}) HAVING count(*) > 0",
+    "audit_sender": ctes("base") + _sender_counts,
     "audit_to": _recipients("to_recipients"),
     "audit_cc": _recipients("cc_recipients"),
     "audit_bcc": _recipients("bcc_recipients"),
-    "audit_account": ctes("base") + counted("base", "account_email", _account, {"distinct_non_null_values": "count(DISTINCT account_email)"}),
+    "audit_account": ctes("base") + _account_counts,
     "audit_participants": ctes("base") + counted("base", "all_participants", _participants),
     "audit_examples": ctes("base") + _examples("base", "sender", sender_checks("sender")),
-    "audit_item_examples": ctes("base") + _examples("(SELECT id, unnest(from_json(to_recipients, '[\"VARCHAR\"]')) AS item FROM base)", "item", item_checks("item")),
-    "mailbox_variants_topk": ctes("base") + f"SELECT * FROM ({_variants}) ORDER BY variant_count DESC, mailbox LIMIT 3",
-    "account_smallest_values": ctes("base") + "SELECT DISTINCT account_email FROM base WHERE account_email IS NOT NULL ORDER BY 1 LIMIT 5",
-    "known_addresses": ctes("parsed") + "SELECT email, CASE WHEN d = 'googlemail.com' THEN 'gmail.com' ELSE d END AS domain, regexp_replace(regexp_extract(email, '^([^@]+)@', 1), '[^a-z0-9]', '', 'g') AS compare, len FROM (SELECT email, lower(regexp_extract(email, '@(.+)$', 1)) AS d, count(*) AS len FROM parsed WHERE email IS NOT NULL GROUP BY 1) WHERE len >= 2",
+    "audit_item_examples": ctes("base") + _examples(_items("to_recipients"), "item", item_checks("item")),
+    "audit_all_examples": ctes("base") + f"SELECT * FROM ({_shown})",
+    "audit_report": ctes("base") + f"SELECT column_name, issue, count, coalesce(examples, '') AS examples FROM ({_issues}) LEFT JOIN (SELECT column_name, issue, string_agg(example, '|' ORDER BY position) AS examples FROM ({_shown}) GROUP BY 1, 2 UNION ALL SELECT 'sender', '{VARIANTS}', (SELECT string_agg(mailbox, '|' ORDER BY mailbox) FROM ({_top_variants})) UNION ALL SELECT 'account_email', '{VALUES}', (SELECT string_agg(account_email, '|' ORDER BY account_email) FROM ({_values}))) USING (column_name, issue)",
+    "mailbox_variants_topk": ctes("base") + _top_variants,
+    "account_smallest_values": ctes("base") + _values,
+    "known_addresses": ctes("known") + "SELECT * FROM known",
     "suspicious_addresses": ctes("suspect") + "SELECT id, address_role, address_index, normalized_value FROM suspect",
     "repair_seed": ctes("seed") + "SELECT id, address_role, address_index, candidate, direct, CASE WHEN seed IS NOT NULL THEN CASE WHEN host = 'googlemail.com' THEN 'gmail.com' ELSE host END END AS domain, seed FROM seed",
+    "repair_margin": f"WITH RECURSIVE known AS (SELECT compare, 'gmail.com' AS domain, compare || '@gmail.com' AS email, count(*) AS len FROM (SELECT regexp_replace(p_name, '[^a-z]', '', 'g') AS compare FROM part) GROUP BY 1), wanted AS (SELECT domain, unnest([substr(compare, 1, 1) || substr(compare, 3), substr(compare, 1, length(compare) - 1), substr(compare, 4), reverse(compare)]) AS seed FROM known), {', '.join(f'{t} AS ({TABLES[t]})' for t in ('pair', 'block', 'alike', 'placed', 'taken'))} SELECT domain, seed AS compare, repaired FROM taken",
+    "fuzzy_repair": ctes("repaired") + "SELECT * FROM repaired",
+    "repaired_emails": ctes("repaired") + "SELECT DISTINCT email FROM repaired WHERE email IS NOT NULL",
+    "repaired_sender_domains": ctes("repaired") + "SELECT DISTINCT regexp_extract(email, '@(.+)$', 1) AS domain FROM repaired WHERE email IS NOT NULL AND address_role = 'sender'",
+    "target_rules": ctes("goal") + "SELECT name, ratio, total_emails, array_to_string(include, '|') AS include, array_to_string(exclude, '|') AS exclude, array_to_string(prefer, '|') AS prefer, min_evidence, cap, width, directional FROM goal",
     "search_keys": ctes("keyed") + "SELECT id, address_role, address_index, search_key FROM keyed",
     "focus_ids": ctes("focus") + "SELECT * FROM focus",
     "key_stats": ctes("stats") + "SELECT * FROM stats",
@@ -265,7 +315,7 @@ ORACLES: dict[str, str] = {
     "top_per_group": "SELECT o_orderstatus, place, o_orderkey, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '5-LOW' THEN 2 END ASC NULLS LAST, o_totalprice DESC, o_orderkey) AS place FROM orders) WHERE place <= 12",
     "sorted_head": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5",
     "argmin_argmax": "SELECT o_orderpriority, arg_min(o_orderkey, (o_totalprice, o_orderkey)) AS cheapest, arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS dearest FROM orders GROUP BY 1",
-    "string_functions": f"SELECT p_partkey, lower(p_name) AS low, length(p_name) AS chars, len(regexp_extract_all(p_name, '[aeiou]')) AS vowels, {extract('p_name', '([0-9]+)')} AS digits, {rewrite('p_name', '([a-z])([0-9])', chr(92) + '1_' + chr(92) + '2')} AS marked, {truncated('repeat(p_name, 20)')} AS short, nullif(trim({rewrite('p_name', '[a-z0-9]', ' ')}), '') AS blank, split_part(p_name, ' ', 1) AS first_word FROM part",
+    "string_functions": f"SELECT p_partkey, lower(p_name) AS low, length(p_name) AS chars, len(regexp_extract_all(p_name, '[aeiou]')) AS vowels, {extract('p_name', '([0-9]+)')} AS digits, {rewrite('p_name', '([a-z])([0-9])', r'\1_\2')} AS marked, {truncated('repeat(p_name, 20)')} AS short, nullif(trim({rewrite('p_name', '[a-z0-9]', ' ')}), '') AS blank, split_part(p_name, ' ', 1) AS first_word FROM part",
     "number_functions": "SELECT c_custkey, abs(c_acctbal) AS size, round(ln(abs(c_acctbal) + 1e-9 + 1), 6) AS log, greatest(2, c_custkey // 3) AS band, least(c_custkey, 9) AS capped, c_custkey - 100 AS delta, round(c_acctbal / nullif(c_custkey % 4, 0), 6) AS quotient FROM customer",
     "fill_null_frame": "SELECT c_custkey, coalesce(orders, 0) AS orders, priority FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS orders, max(o_orderpriority) AS priority FROM orders GROUP BY 1) ON o_custkey = c_custkey",
     "cross_product": "SELECT CAST(a.r_regionkey AS BIGINT) AS a, CAST(b.r_regionkey AS BIGINT) AS b FROM region a, region b WHERE a.r_regionkey <> 0 OR b.r_regionkey <> 0",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from headmint.functions import address, text
 from headmint.functions import patterns as P
 from headmint.operators import addresses, audit, cards, keys, relational, repair, report, subset
+from headmint.plans import jobs
 from headmint.sources.mail_view import messages
 from headmint.sources.scratch import fresh_folder, stored
 from headmint.sources.tables import read_csv, read_parquet, table, write_csv, write_parquet
@@ -163,6 +164,16 @@ def account_smallest_values(spark: SparkSession, folder: str) -> DataFrame:
     return audit.smallest_values(regular(spark, folder))
 
 
+@query
+def audit_all_examples(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.all_examples(regular(spark, folder)).withColumn("position", F.col("position").cast("bigint"))
+
+
+@query
+def audit_report(spark: SparkSession, folder: str) -> DataFrame:
+    return jobs.audit_report(messages(spark, folder)).withColumn("examples", joined("examples"))
+
+
 # ------------------------------------------------------------------ repair
 
 
@@ -183,7 +194,31 @@ def repair_seed(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def fuzzy_repair(spark: SparkSession, folder: str) -> DataFrame:
-    return repair.fuzzy_repair(kept(parsed(spark, folder))).select("id", "address_role", "address_index", "normalized_value", "email")
+    return repaired(spark, folder).select("id", "address_role", "address_index", "normalized_value", "email")
+
+
+@query
+def repair_margin(spark: SparkSession, folder: str) -> DataFrame:
+    """Names of parts, damaged in four ways, against the whole ones: near ties are refused."""
+    known = table(spark, folder, "part").groupBy(F.regexp_replace("p_name", "[^a-z]", "").alias("compare")).agg(F.count(F.lit(1)).alias("len"))
+    known = known.select(F.concat("compare", F.lit("@gmail.com")).alias("email"), F.lit("gmail.com").alias("domain"), "compare", "len")
+    damaged = ("substr(compare, 1, 1) || substr(compare, 3)", "substr(compare, 1, length(compare) - 1)", "substr(compare, 4)", "reverse(compare)")
+    return repair.best_known(known.select("domain", F.explode(F.array(*map(F.expr, damaged))).alias("compare")), known)
+
+
+def repaired(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.fuzzy_repair(kept(parsed(spark, folder)))
+
+
+@query
+def repaired_emails(spark: SparkSession, folder: str) -> DataFrame:
+    """The list of addresses as the address job writes it: after repair."""
+    return addresses.distinct_emails(repaired(spark, folder))
+
+
+@query
+def repaired_sender_domains(spark: SparkSession, folder: str) -> DataFrame:
+    return addresses.sender_domains(repaired(spark, folder))
 
 
 # ------------------------------------------------------------------ keys and matching
@@ -217,6 +252,13 @@ def _targets(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(TARGETS, TARGET_SCHEMA)
 
 
+@query
+def target_rules(spark: SparkSession, folder: str) -> DataFrame:
+    t = _targets(spark)
+    both = keys.targets_with_rules(t.select("name", "ratio", "total_emails"), t.drop("ratio", "total_emails"))
+    return both.withColumns({c: joined(c) for c in ("include", "exclude", "prefer")})
+
+
 def _candidates(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     k, pairs = _exchange(spark, folder)
     pairs = kept(pairs)

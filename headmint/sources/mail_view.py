@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from headmint.sources.tables import table
+from headmint.sources.tables import spread, table
 
 
 def _label(number: str) -> str:
@@ -42,5 +42,5 @@ SQL = f"SELECT {', '.join(f'{e} AS {c}' for c, e in COLUMNS.items())} FROM (SELE
 
 def messages(spark: SparkSession, folder: str) -> DataFrame:
     """The derived message table; only two columns of orders are read."""
-    people = table(spark, folder, "orders").selectExpr("o_orderkey", *(f"{e} AS {c}" for c, e in PEOPLE.items()))
+    people = spread(table(spark, folder, "orders").select("o_orderkey", "o_custkey")).selectExpr("o_orderkey", *(f"{e} AS {c}" for c, e in PEOPLE.items()))
     return people.selectExpr(*(f"{e} AS {c}" for c, e in COLUMNS.items()))

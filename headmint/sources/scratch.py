@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 def fresh_folder(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir; it goes when the JVM ends.
 
-    Only where the setting is absent (local runs) a temporary folder is used.
+    Only local runs may do without the setting: they use a temporary folder. On a cluster each
+    machine would have its own, so there the setting is asked for.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = getattr(sc, "_headmint_dir", None) or f"file://{tempfile.mkdtemp(prefix='headmint-')}"
         sc._headmint_dir = base
     path = f"{base.rstrip('/')}/headmint-{uuid.uuid4().hex}"

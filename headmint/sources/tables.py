@@ -21,6 +21,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt evenly over the cores where its files give fewer splits than there are cores, as a
+    small file does; for heavy expressions. Tables of more splits stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < cores else df
+
+
 def read_parquet(spark: SparkSession, path: str, columns: Iterable[str] | None = None) -> DataFrame:
     """A Parquet table; only the named columns are read from the files."""
     df = spark.read.parquet(path)

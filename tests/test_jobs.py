@@ -22,6 +22,26 @@ def test_audit_job(spark, small):
     assert len(list(jobs.report_lines(rows))) == len(got)
 
 
+def test_audit_job_scans(spark, small):
+    """Counts, examples, variants and account values: a scan each, and one exchange of variants used twice."""
+    out = jobs.audit_report(messages(spark, small))
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan parquet") - plan.count("ReusedExchange") <= 4 and "Python" not in plan
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from headmint.sources.scratch import fresh_folder
+
+    context = SimpleNamespace(master="spark://there:7077", getConf=lambda: {})
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        fresh_folder(SimpleNamespace(sparkContext=context))
+
+
 def test_matching_job(spark, small, tmp_path):
     t = spark.createDataFrame(queries.TARGETS, queries.TARGET_SCHEMA)
     write_csv(t.select("name", "ratio", "total_emails"), f"file://{tmp_path}/targets", ["name"])

@@ -95,6 +95,8 @@ def test_repair_seed_edges(spark):
     assert seeds("abc= gmail.com") == [(None, None, None)]
     assert seeds("gmail.com") == []
     assert seeds("hotmail.com") == [(None, None, None)]  # tmail is suspicious, nothing is left as a seed
+    for before in ("", "\0", "\0 \0"):  # a character of no meaning changes no place
+        assert seeds(f"{before}<joe@gmail.corn>") == [("joe@gmail.corn", None, None)]
     long = "a" * 70 + "@x.con"
     assert seeds(long) == [("a" * 70 + "@x.com", None, None)]
 
@@ -117,7 +119,8 @@ def test_relational_rules(spark):
 
 @pytest.mark.parametrize("pair", [("tide", "diet"), ("diet", "tide"), ("", ""), ("abc", ""), ("user", "usre")])
 def test_sequence_ratio(spark, pair):
-    from headmint.functions.similarity import letter_bound, sequence_ratio
+    from headmint.functions.similarity import letter_bound, sequence_ratio, shared_letters_bound
 
-    r = spark.createDataFrame([pair], "a string, b string").select(sequence_ratio(F.col("a"), F.col("b")).alias("r"), letter_bound(F.col("a"), F.col("b")).alias("u")).first()
-    assert r["r"] == SequenceMatcher(None, *pair).ratio() and r["u"] >= r["r"]
+    a, b = F.col("a"), F.col("b")
+    r = spark.createDataFrame([pair], "a string, b string").select(sequence_ratio(a, b).alias("r"), letter_bound(a, b).alias("u"), shared_letters_bound(a, b).alias("v")).first()
+    assert r["r"] == SequenceMatcher(None, *pair).ratio() and r["u"] >= r["v"] >= r["r"]

@@ -99,6 +99,15 @@ def test_target_without_rules_fails(spark):
         keys.targets_with_rules(targets, rules).collect()
 
 
+def test_two_rule_sets_fail(spark):
+    t = spark.createDataFrame([("a", 1.0, 5, ["x"], [], [], 0, 5, 3, False)], TARGETS)
+    rules = t.drop("ratio", "total_emails")
+    goals = t.select("name", "ratio", "total_emails")
+    assert keys.targets_with_rules(goals, rules).count() == 1
+    with pytest.raises(Exception, match="several rule sets for target a"):
+        keys.targets_with_rules(goals, rules.unionByName(rules)).collect()
+
+
 def test_focus_and_exchange(spark):
     rows = [(1, "sender", "f@x.org", "f"), (1, "to_recipients", "a@x.org", "a"), (2, "sender", "a@x.org", "a"), (2, "cc_recipients", None, "alias"), (2, "to_recipients", "b@x.org", None), (3, "sender", "b@x.org", "b"), (4, "account_email", "f@x.org", "f")]
     k = spark.createDataFrame(rows, "id bigint, address_role string, email string, search_key string")
