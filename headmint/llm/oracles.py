@@ -130,6 +130,30 @@ FROM d LEFT JOIN a USING (doc_id)
 """
 
 
+#: Patterns and checks of the base kinds of personal data, spelled out here and not taken from the operator.
+PII_BASE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents
+), f AS (
+  SELECT doc_id, 'email' AS kind, 0 AS rank, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS m, regexp_split_to_array(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS gap FROM d
+  UNION ALL SELECT doc_id, 'ip', 1, regexp_extract_all(text, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), regexp_split_to_array(text, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') FROM d
+  UNION ALL SELECT doc_id, 'card', 2, regexp_extract_all(text, '[0-9]([\x20-]?[0-9])+'), regexp_split_to_array(text, '[0-9]([\x20-]?[0-9])+') FROM d
+  UNION ALL SELECT doc_id, 'phone', 3, regexp_extract_all(text, '\+[0-9][\x20().0-9-]+[0-9]'), regexp_split_to_array(text, '\+[0-9][\x20().0-9-]+[0-9]') FROM d
+), x AS (SELECT doc_id, kind, rank, unnest(m) AS m, unnest(gap[:len(m)]) AS gap, unnest(range(len(m))) AS k FROM f
+), s AS (
+  SELECT doc_id, kind, rank, m, reverse(regexp_replace(m, '[^0-9]', '', 'g')) AS digits,
+    CAST(sum(length(gap) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY k) AS BIGINT) AS stop FROM x
+), g AS (
+  SELECT doc_id, rank, stop - length(m) AS start, kind || ':' || (stop - length(m)) || ':' || stop AS span FROM s WHERE CASE kind
+    WHEN 'ip' THEN len(list_filter(string_split(m, '.'), lambda p: coalesce(TRY_CAST(p AS BIGINT), 999) > 255)) = 0
+    WHEN 'card' THEN length(digits) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr(digits, i, 1) AS INTEGER) ELSE 2 * CAST(substr(digits, i, 1) AS INTEGER) - CASE WHEN substr(digits, i, 1) > '4' THEN 9 ELSE 0 END END)) % 10 = 0
+    WHEN 'phone' THEN length(digits) BETWEEN 9 AND 15 ELSE TRUE END
+), a AS (
+  SELECT doc_id, count(*) FILTER (WHERE rank = 0) AS e, count(*) FILTER (WHERE rank = 1) AS i, count(*) FILTER (WHERE rank = 2) AS c, count(*) FILTER (WHERE rank = 3) AS p, string_agg(span, ',' ORDER BY rank, start) AS base FROM g GROUP BY 1
+)
+SELECT doc_id, coalesce(e, 0) AS n_email, coalesce(i, 0) AS n_ip, coalesce(c, 0) AS n_card, coalesce(p, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256
+FROM d LEFT JOIN a USING (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": OP1,
     "op3_kd_topk": OP3,
@@ -138,4 +162,5 @@ ORACLES: dict[str, str] = {
     "op8_chat_format": OP8,
     "op9_secret_scan": _secret_scan(),
     "op10_warc": OP10,
+    "pii_base": PII_BASE,
 }
