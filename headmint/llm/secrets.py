@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -270,11 +272,30 @@ def row_key(id_col: Column, text: Column) -> Column:
     return F.xxhash64(id_col, text)
 
 
-def trigram_index(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """Postings (trigram, row) of docs(row, text) for the trigrams asked for."""
-    low = F.lower("text")
-    there = F.filter(F.array(*(F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in vocabulary)), lambda t: t.isNotNull())
-    return docs.select("row", F.explode(there).alias("trigram")).select("trigram", "row")
+COMMON = " etaoinshrdlcumwfgypbvkjxqz"  # letters by falling frequency
+
+
+def rarest_first(grams: list[str]) -> list[str]:
+    """By the letters, the least likely trigram first."""
+    place = lambda c: COMMON.index(c) if c in COMMON else len(COMMON)
+    return sorted(grams, key=lambda t: (-sum(map(place, t)), t))
+
+
+def trigram_index(docs: DataFrame, clauses: list[tuple[str, int, list[str]]]) -> DataFrame:
+    """Postings (trigram, row) of docs(row, text) for the trigrams of the clauses.
+
+    A clause's trigrams are looked for rarest first, each only where those before it are: what
+    is left out can't be in the clause's intersection.
+    """
+    has = lambda t: F.contains("low", F.lit(t))
+    after: dict[str, set[tuple[str, ...]]] = {}
+    for _, _, grams in clauses:
+        order = rarest_first(grams)
+        for k, t in enumerate(order):
+            after.setdefault(t, set()).add(tuple(order[:k]))
+    there = [reduce(or_, (reduce(and_, [*map(has, before), has(t)]) for before in sorted(befores))) for t, befores in sorted(after.items())]
+    found = F.array_remove(F.array(*(F.when(c, F.lit(t)).otherwise(F.lit("")) for t, c in zip(sorted(after), there, strict=True))), "")
+    return docs.select("row", F.lower("text").alias("low")).select("row", found.alias("found")).filter(F.size("found") > 0).select(F.explode("found").alias("trigram"), "row")
 
 
 def candidates(index: DataFrame, clauses: list[tuple[str, int, list[str]]], kinds: list[str]) -> DataFrame:
@@ -323,7 +344,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spans = [F.when(F.rlike("text", F.lit(r.java or r.pattern)), rule_spans(F.col("text"), r)).otherwise(none) for r in full]
     if clauses:
         folder = shared_dir(docs.sparkSession)
-        index = stored(trigram_index(d.select("row", "text"), sorted({t for _, _, ts in clauses for t in ts})), f"{folder}/trigrams")
+        index = stored(trigram_index(d.select("row", "text"), clauses), f"{folder}/trigrams")
         kinds = list(dict.fromkeys(c[0] for c in clauses))
         found = stored(candidates(index, clauses, kinds), f"{folder}/candidates")
         if found.count() * KEY_BYTES <= BROADCAST_BYTES:  # then texts stay where they were read
