@@ -35,7 +35,7 @@ SEGMENT_CELLS = 1 << 22  # counts that one reducer of the sketch holds
 FLUSH_WINDOWS = 3_000_000  # whose cells a task holds
 SLICE = 4 << 20  # text handled at once
 RANGE_BYTES = 16 << 20  # text whose repeated windows one reducer gets
-PART_BYTES = 12 << 20  # text of a group
+PART_BYTES = 8 << 20  # text of a group
 NO_ID = np.iinfo(np.int64).max
 
 
