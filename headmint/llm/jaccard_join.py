@@ -483,7 +483,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # a text's documents are linked by being equal; then texts by components
     comp = comp.select(F.col("node").alias("set_key"), "component")
     grouped = sets.drop("part", "shingles").join(comp, "set_key", "left").withColumn("component", F.coalesce("component", "set_key")).join(by_text, ["k1", "k2"])
-    least = grouped.groupBy("component").agg(F.min("low").alias("component_id"))
+    grouped = stored(grouped.select("k1", "k2", "n", "component", "low"), f"{folder}/grouped")
+    least = stored(grouped.groupBy("component").agg(F.min("low").alias("component_id")), f"{folder}/least")  # stored, so that a hot component's rows can be split
     of_text = grouped.join(least, "component").select("k1", "k2", F.col("n").cast("bigint").alias("n_shingles"), "component_id")
     found = named.filter("wordy").join(of_text, ["k1", "k2"]).select("doc_id", "n_shingles", "component_id")
     blank = named.filter("NOT wordy").select("doc_id", F.lit(0).cast("bigint").alias("n_shingles"), F.col("doc_id").alias("component_id"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from headmint.llm import chat, common, jaccard_join, kd_search, pieces, pii, quality_cnn, secrets, substring_dedup
 from headmint.llm.queries import MODEL
-from tests.llm.test_edges import clashing, documents, near_copies
+from tests.llm.test_edges import SECRET_TEXTS, clashing, documents, near_copies
 
 
 def prose(seed, documents, words=300):
@@ -303,8 +303,8 @@ def test_edges_are_sparse_and_in_order():
 # ------------------------------------------------------------------ secrets
 
 
-def test_texts_are_joined_by_a_shuffle_beyond_the_bound(spark, small, monkeypatch):
-    docs = spark.read.parquet(f"{small}/documents.parquet")
+def test_texts_are_joined_by_a_shuffle_beyond_the_bound(spark, monkeypatch):
+    docs = documents(spark, SECRET_TEXTS * 3)
     rows = lambda: sorted((r["doc_id"], [tuple(s) for s in r["spans"]]) for r in secrets.secret_spans(docs).collect())
     want = rows()
     monkeypatch.setattr(secrets, "BROADCAST_BYTES", -1)
