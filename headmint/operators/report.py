@@ -12,7 +12,7 @@ def labels(picked: DataFrame, cands: DataFrame) -> DataFrame:
     """name, picked_keys: the keys of the masks in candidate order; `shared:`, `from+:` and `to+:`
     where one direction has keys of its own."""
     bit = F.expr("shiftleft(CAST(1 AS BIGINT), n - 1 - position)")
-    met = picked.join(F.broadcast(cands), "name")
+    met = picked.join(cands, "name")
     keys = lambda m: F.transform(F.array_sort(F.collect_list(F.when(F.col(m).bitwiseAND(bit) != 0, F.struct("position", "search_key")))), lambda x: x["search_key"])
     masks = ["picked", "sender_extras", "recipient_extras"]
     by_name = met.groupBy("name").agg(*(keys(m).alias(m) for m in masks))

@@ -28,7 +28,7 @@ BEST_SCHEMA = "name string, picked bigint, sent bigint, received bigint, score d
 def histogram(cands: DataFrame, pairs: DataFrame) -> DataFrame:
     """name, side, mask, ids: how many ids belong to exactly the keys of mask."""
     bit = F.expr("shiftleft(CAST(1 AS BIGINT), n - 1 - position)")
-    masks = pairs.join(F.broadcast(cands), "search_key").groupBy("name", "side", "id").agg(F.bit_or(bit).alias("mask"))
+    masks = pairs.join(cands, "search_key").groupBy("name", "side", "id").agg(F.bit_or(bit).alias("mask"))
     return masks.groupBy("name", "side", "mask").agg(F.count(F.lit(1)).alias("ids"))
 
 
@@ -100,7 +100,7 @@ def best_subset(targets: DataFrame, cands: DataFrame, pairs: DataFrame, method:
     if method == "kernel":
         return goals.groupBy("name").cogroup(hist.groupBy("name")).applyInPandas(_kernel, BEST_SCHEMA)
     few, many = goals.filter(F.col("n") <= JOIN_KEYS), goals.filter(F.col("n") > JOIN_KEYS)
-    kernel = many.groupBy("name").cogroup(hist.join(F.broadcast(many.select("name")), "name", "left_semi").groupBy("name")).applyInPandas(_kernel, BEST_SCHEMA)
+    kernel = many.groupBy("name").cogroup(hist.join(many.select("name"), "name", "left_semi").groupBy("name")).applyInPandas(_kernel, BEST_SCHEMA)
     return _join_search(few, hist).unionByName(kernel)
 
 
