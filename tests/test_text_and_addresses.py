@@ -74,3 +74,39 @@ def test_truncate(spark, n, expected):
 def test_repair_candidate_rewrites_before_extraction(spark):
     assert one(spark, address.repair_candidate, "Joe#Gmail.com x.CON") == "joe@gmail.com x.com"
     assert one(spark, address.email_key, "Joe.1@X.org") == "joexorg"
+
+
+# ------------------------------------------------------------------ fixed values, spelled out once more
+
+HOSTS = "gmail googlemail yahoo hotmail outlook icloud me mac msn live gmx aol protonmail ymail rocketmail".split()
+ENDS = "com net org edu gov mil int co io ai me tv us uk ru fr de ch it nl se no es br ca mx".split()
+
+
+def several(spark, f, values):
+    rows = spark.createDataFrame(list(enumerate(values)), "k int, v string").select("k", f(F.col("v")).alias("o")).collect()
+    return [r["o"] for r in sorted(rows)]
+
+
+def test_every_webmail_host_and_ending_counts(spark):
+    """A hash sign before a webmail host, or before a domain of a known ending, is an at sign; before others it isn't."""
+    assert several(spark, address.email, [f"joe#{h}.com" for h in HOSTS]) == [f"joe@{h}.com" for h in HOSTS]
+    assert several(spark, address.email, [f"joe§x-y.{e}" for e in ENDS]) == [f"joe@x-y.{e}" for e in ENDS]
+    assert several(spark, address.email, ["joe#x-y.xyz", "joe#x-y.info", "joe§fastmail.pl"]) == [None] * 3
+
+
+def test_every_webmail_domain_gives_a_seed(spark):
+    from headmint.operators.repair import repair_seeds
+
+    values = [f"longname = {h}.com" for h in HOSTS] + ["longname = fastmail.com"]
+    rows = spark.createDataFrame([(k, "to_recipients", 0, v, v, None, None) for k, v in enumerate(values)], "id bigint, address_role string, address_index bigint, raw_value string, normalized_value string, display_name string, email string")
+    got = {r["id"]: r["domain"] for r in repair_seeds(rows).collect()}
+    assert [got[k] for k in range(len(HOSTS))] == ["gmail.com" if h in ("gmail", "googlemail") else f"{h}.com" for h in HOSTS] and got[len(HOSTS)] is None
+
+
+def test_what_is_suspicious(spark):
+    from headmint.operators.repair import suspicious_addresses
+
+    yes = ["a§b", "a#b", "a=b", "joe grnail", "joe gmall", "joe smail", "TMAIL", "popcorn", "record", "x.con", "x.con y"]
+    no = ["a b", "x.cone", "joe gmail", "x con", "c.o.n"]
+    rows = spark.createDataFrame([(v, None) for v in yes + no], "normalized_value string, email string")
+    assert {r["normalized_value"] for r in suspicious_addresses(rows).collect()} == set(yes)
