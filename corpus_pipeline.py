@@ -15,7 +15,7 @@ from headmint.llm.decontaminate import decontaminate
 from headmint.llm.jaccard_join import one_of_each
 from headmint.llm.pieces import encode
 from headmint.llm.quality_cnn import score, train_from
-from headmint.llm.queries import MODEL
+from headmint.llm.queries import MODEL, source
 from headmint.llm.secrets import redact_secrets
 
 
@@ -77,7 +77,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = source(spark, sf_dir, "documents")
     folder = shared_dir(spark)
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"{folder}/{name}")
