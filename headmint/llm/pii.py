@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
@@ -198,21 +199,22 @@ class ChainField:
     def __init__(self, table: list[tuple[list[str], list[tuple[str, str]], str]], rounds: int = 80, rate: float = 0.3):
         runs = [(([plain_word(w) for w in before], [shape(w) for w, _ in r], plain_word(after)), [LABELS.index(y) for _, y in r]) for before, r, after in table]
         self.number: dict[str, int] = {}
-        coded = [[[self.number.setdefault(f, len(self.number)) for f in features(run, k)] for k in range(len(run[1]))] for run, _ in runs]
+        times = Counter((tuple(tuple(self.number.setdefault(f, len(self.number)) for f in features(run, k)) for k in range(len(run[1]))), tuple(y)) for run, y in runs)
+        coded, golds, weight = [c for c, _ in times], [y for _, y in times], np.array([*times.values()], float)[:, None, None]  # rows that look alike count as often as they are there
         n, k = len(self.number), len(LABELS)
         # the last row stands for no feature and stays zero
         self.emit, self.move, self.begin, self.end = np.zeros((n + 1, k)), np.zeros((k, k)), np.zeros(k), np.zeros(k)
         long = max(map(len, coded), default=0)
-        ids = np.full((len(runs), long, MOST_FEATURES), n)
-        gold = np.zeros((len(runs), long), np.int64)
+        ids = np.full((len(coded), long, MOST_FEATURES), n)
+        gold = np.zeros((len(coded), long), np.int64)
         size = np.array([len(c) for c in coded])
-        for i, (c, (_, y)) in enumerate(zip(coded, runs, strict=True)):
+        for i, (c, y) in enumerate(zip(coded, golds, strict=True)):
             gold[i, : len(y)] = y
             for t, f in enumerate(c):
                 ids[i, t, : len(f)] = f
         there = np.arange(long) < size[:, None]
-        rows, last = np.arange(len(runs)), size - 1
-        flat = np.concatenate([np.repeat(ids.reshape(-1, MOST_FEATURES), k, axis=0) * k + np.tile(np.arange(k), len(runs) * long)[:, None]]).ravel()
+        rows, last = np.arange(len(coded)), size - 1
+        flat = (np.repeat(ids.reshape(-1, MOST_FEATURES), k, axis=0) * k + np.tile(np.arange(k), len(coded) * long)[:, None]).ravel()
         sq = [np.full_like(a, 1e-3) for a in (self.emit, self.move, self.begin, self.end)]
         for _ in range(rounds):
             scores = self.emit[ids].sum(axis=2)
@@ -228,13 +230,13 @@ class ChainField:
                 backward[:, t] = np.where(there[:, t + 1, None], step, self.end)
             post = np.exp(forward + backward - total[:, None, None]) * there[:, :, None]
             want = np.eye(k)[gold] * there[:, :, None]
-            diff = want - post
+            diff = (want - post) * weight
             g_emit = np.bincount(flat, weights=np.repeat(diff.reshape(-1), MOST_FEATURES), minlength=(n + 1) * k).reshape(n + 1, k)
             g_emit[n] = 0
             g_move = np.zeros_like(self.move)
             for t in range(1, long):
                 pair = np.exp(forward[:, t - 1, :, None] + self.move + (scores[:, t] + backward[:, t])[:, None, :] - total[:, None, None]) * there[:, t, None, None]
-                g_move += (want[:, t - 1, :, None] * want[:, t, None, :]).sum(axis=0) - pair.sum(axis=0)
+                g_move += ((want[:, t - 1, :, None] * want[:, t, None, :] - pair) * weight).sum(axis=0)
             g_begin, g_end = diff[:, 0].sum(axis=0), diff[rows, last].sum(axis=0)
             for a, g, s in zip((self.emit, self.move, self.begin, self.end), (g_emit, g_move, g_begin, g_end), sq, strict=True):
                 g -= 0.05 * a
