@@ -390,7 +390,7 @@ def test_pipeline_stages_on_hard_rows(spark, small):
     import corpus_pipeline
 
     clean = "The river runs slowly past the old mill and the town wakes up early on market days to sell bread and fruit. " * 3
-    texts = [None, "", clean, clean + "It rains.", "token=secret: longvalue123 " + clean, clean]
+    texts = [None, "", clean, clean + "It rains.", "secret = longvalue123 " + clean, clean]
     d = documents(spark, texts).unionByName(spark.createDataFrame([(None, clean, "en", "s", 9), (2, clean, "en", "s", 9)], documents(spark, texts[:1]).schema)).transform(clashing)
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, d, small)
