@@ -53,6 +53,8 @@ PROBE_WEIGHT = 0.004  # DivideSkip: what a probe costs against a step of the mer
 PROBE_LISTS = 24  # long lists probed at once, before candidates are dropped
 SEEN_TEXTS = 1_000_000  # hashes of texts by which a task knows copies, before it starts anew
 NODE_BITS = 28  # of a set's number within its group
+BROADCAST_BYTES = 64 << 20  # of ids to drop, at KEY_BYTES each; more of them meet the texts by a shuffle
+KEY_BYTES = 24  # an id, with what a hash table adds
 
 
 def need(size: int | np.ndarray, num: int, den: int):
@@ -496,10 +498,14 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Of repeated rows (equal id and text) one stays; rows of equal id and different texts
     that are first of their group both stay, as do rows with a null id."""
-    found = ngram_jaccard_join(docs, id_col, text_col, **names)
-    kept = found.filter(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("kept_id")).count()
-    kept = stored(kept, f"{shared_dir(docs.sparkSession)}/kept")
-    out = docs.join(kept.select("kept_id"), docs[id_col] == kept["kept_id"], "left_semi")
-    if not kept.filter("count > 1").isEmpty():
-        out = out.dropDuplicates([id_col, text_col])
-    return out.unionByName(docs.filter(docs[id_col].isNull()))
+    found = ngram_jaccard_join(docs, id_col, text_col, **names).filter(F.col(id_col).isNotNull())
+    first = F.col(id_col) == F.col("component_id")
+    by_id = found.groupBy(F.col(id_col).alias("of_id")).agg(F.count_if(first).alias("firsts"))
+    by_id = stored(by_id, f"{shared_dir(docs.sparkSession)}/by_id")
+    gone = by_id.filter("firsts = 0").select("of_id")
+    if gone.count() * KEY_BYTES <= BROADCAST_BYTES:  # then texts stay where they are
+        gone = F.broadcast(gone)
+    out = docs.join(gone, docs[id_col] == gone["of_id"], "left_anti")
+    if by_id.filter("firsts > 1").isEmpty():
+        return out
+    return out.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col]).unionByName(docs.filter(docs[id_col].isNull()))
